@@ -16,7 +16,7 @@ def order_lines(spark: SparkSession, sf_dir: str, item: str = "l_partkey") -> Da
         F.col("o_custkey").cast("bigint").alias("userId"),
         F.col(item).cast("bigint").alias("itemId"),
         (F.ceil(F.col("l_quantity") / 5).cast("double") / 2).alias("rating"),
-        F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("ts"),
+        (F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")).cast("bigint") * 86400).alias("ts"),
     )
 
 
