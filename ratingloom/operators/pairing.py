@@ -28,7 +28,7 @@ def corated(
     ``b_*``; ``within`` adds columns that must be equal. A user with more than ``block_items``
     items is cut into blocks by item hash and the blocks are paired as separate join keys, so the
     work of one user spreads over many tasks. ``max_items`` is the largest number of items of a
-    user when it is known; if it fits one block, the plan has no blocks at all.
+    user, or any bound above it, when it is known; if it fits one block, there are no blocks.
     """
     within = within or []
     if max_items is None:

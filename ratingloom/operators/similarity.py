@@ -24,7 +24,8 @@ def pair_cosines(
 
 def item_cosine(train: DataFrame) -> DataFrame:
     """Cosine of all pairs of distinct item vectors that have a common rater, each pair once."""
-    return pair_cosines(leader_weights(with_facts(train, item_facts(train))))
+    weights = leader_weights(with_facts(train, item_facts(train)))
+    return pair_cosines(weights, max_items=largest_user(train))
 
 
 def within_group_pairs(train: DataFrame, groups: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def within_group_pairs(train: DataFrame, groups: DataFrame) -> DataFrame:
     full grid of a group is never formed.
     """
     rated = leader_weights(with_facts(train, item_facts(train, groups)))
-    met = corated(rated, [], within=["grp"])
+    met = corated(rated, [], within=["grp"], max_items=largest_user(train))
     return met.groupBy("grp", F.col("a_leader").alias("i"), F.col("b_leader").alias("j")).agg(
         F.count("*").alias("n_common")
     )
@@ -42,7 +43,8 @@ def within_group_pairs(train: DataFrame, groups: DataFrame) -> DataFrame:
 
 def within_group_cosine(train: DataFrame, groups: DataFrame) -> DataFrame:
     """``i, j, cosine_sim`` of pairs inside a group that have a common rater."""
-    return pair_cosines(leader_weights(with_facts(train, item_facts(train, groups))), within=["grp"])
+    weights = leader_weights(with_facts(train, item_facts(train, groups)))
+    return pair_cosines(weights, within=["grp"], max_items=largest_user(train))
 
 
 def symmetric_similarities(pairs: DataFrame) -> DataFrame:
