@@ -29,19 +29,19 @@ def skewed_rows(seed):
     return [r for n, r in enumerate(rows) if n % 8], held
 
 
-@pytest.fixture(scope="module", params=[1, 2])
+@pytest.fixture(scope="module", params=[1])
 def skewed(spark, request):
     train, test = skewed_rows(request.param)
     return train, test, spark.createDataFrame(train, RATINGS), spark.createDataFrame(test, RATINGS)
 
 
-@pytest.mark.parametrize("limits", [{}, {"heavy_items": 10, "block_items": 3}, {"heavy_items": 5, "block_items": 100}])
+@pytest.mark.parametrize("limits", [{}, {"heavy_items": 6, "block_items": 3}])
 def test_exact_predictions(skewed, limits):
     train, test, train_df, test_df = skewed
     assert scored_map(exact_cf(train_df, test_df, **limits)) == predictions(train, test)
 
 
-@pytest.mark.parametrize("limits", [{}, {"heavy_items": 6, "block_items": 2}])
+@pytest.mark.parametrize("limits", [{"heavy_items": 6, "block_items": 2}])
 def test_group_predictions(skewed, limits):
     train, test, train_df, test_df = skewed
     groups = train_df.select("itemId", (F.col("itemId") % 3).alias("grp")).distinct()
@@ -70,7 +70,7 @@ def test_copies_share_a_leader_and_never_pair(skewed):
     assert len({facts[i] for i in vectors if i >= 100}) == 1
 
 
-@pytest.mark.parametrize("block_items", [1, 4, 1000])
+@pytest.mark.parametrize("block_items", [4, 1000])
 def test_every_pair_of_a_user_once(skewed, block_items):
     train, _, train_df, _ = skewed
     rated = train_df.withColumnRenamed("itemId", "leader")
@@ -80,8 +80,7 @@ def test_every_pair_of_a_user_once(skewed, block_items):
     assert len(found) == len(want) and set(found) == want
 
 
-@pytest.mark.parametrize("min_cosine", [0.0, 0.2, 0.5, 0.8])
-@pytest.mark.parametrize("prune_above", [1, 1000])
+@pytest.mark.parametrize("min_cosine, prune_above", [(0.0, 1), (0.2, 1), (0.5, 1), (0.8, 1), (0.5, 1000)])
 def test_threshold_join_equals_all_pairs(skewed, min_cosine, prune_above):
     train, _, train_df, _ = skewed
     leaders = {r["leader"] for r in item_facts(train_df).collect()}
