@@ -1,7 +1,8 @@
 """Deterministic pseudo-random columns.
 
 Plain integer arithmetic below 2**63, so every engine, partitioning and retry gives the same
-value. Two rounds of squaring modulo a prime break up the order of consecutive ids.
+value. Two rounds of squaring modulo a prime break up the order of consecutive ids. The formulas
+are SQL text over the name of an integer column.
 """
 
 from __future__ import annotations
@@ -19,20 +20,25 @@ ROUND_ONE = 7919
 ROUND_TWO = 104729
 
 
-def mixed(key: Column, salt: int) -> Column:
+def _mixed(key: str, salt: int) -> str:
     """Integer in [0, PRIME) that depends on ``key`` and ``salt``."""
-    start = F.pmod(F.pmod(key, F.lit(PRIME)) * SPREAD + (salt % 1000003) * SALT_SPREAD + 12345, F.lit(PRIME))
-    once = (start * start + start * ROUND_ONE + salt % 1000003) % PRIME
-    return (once * once + once * ROUND_TWO + 1) % PRIME
+    salt %= 1000003
+    start = f"pmod(pmod({key}, {PRIME}L) * {SPREAD} + {salt * SALT_SPREAD + 12345}L, {PRIME}L)"
+    once = f"(({start} * {start} + {start} * {ROUND_ONE} + {salt}) % {PRIME}L)"
+    return f"(({once} * {once} + {once} * {ROUND_TWO} + 1) % {PRIME}L)"
 
 
-def uniform(key: Column, salt: int) -> Column:
+def _uniform(key: str, salt: int) -> str:
+    return f"((CAST({_mixed(key, salt)} AS DOUBLE) + 0.5D) / {float(PRIME)}D)"
+
+
+def uniform(key: str, salt: int) -> Column:
     """Double in (0, 1)."""
-    return (mixed(key, salt).cast("double") + 0.5) / float(PRIME)
+    return F.expr(_uniform(key, salt))
 
 
-def gaussian(key: Column, stream: int, seed: int) -> Column:
+def gaussian(key: str, stream: int, seed: int) -> Column:
     """Standard normal value of ``key`` in random stream ``stream`` (Box-Muller)."""
     salt = seed * 1009 + 2 * stream
-    radius = F.sqrt(F.lit(-2.0) * F.ln(uniform(key, salt)))
-    return radius * F.cos(F.lit(2.0 * math.pi) * uniform(key, salt + 1))
+    radius = f"sqrt(-2.0D * ln({_uniform(key, salt)}))"
+    return F.expr(f"{radius} * cos({2.0 * math.pi!r}D * {_uniform(key, salt + 1)})")

@@ -155,7 +155,7 @@ def test_slices_as_ml_vectors_feed_the_library_operators(spark):
 
 def test_random_columns_look_random(spark):
     draws = spark.range(20000).select(
-        uniform(F.col("id"), 42).alias("u"), gaussian(F.col("id"), 3, 42).alias("g"), gaussian(F.col("id"), 4, 42).alias("h")
+        uniform("id", 42).alias("u"), gaussian("id", 3, 42).alias("g"), gaussian("id", 4, 42).alias("h")
     )
     row = draws.agg(
         F.avg("u").alias("mu"), F.avg("g").alias("m"), F.stddev("g").alias("s"), F.corr("g", "h").alias("c"),
