@@ -33,20 +33,27 @@ def targets_of(test: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def neighbor_ratings(
-    targets: DataFrame, similarities: DataFrame, owned: DataFrame, heavy_items: int = HEAVY_ITEMS
+    targets: DataFrame,
+    similarities: DataFrame,
+    owned: DataFrame,
+    heavy_items: int = HEAVY_ITEMS,
+    max_items: int | None = None,
 ) -> DataFrame:
     """Each test row with every similar item its user rated.
 
     ``similarities`` is symmetric (``i, j, cosine_sim``). ``owned`` has ``userId, leader`` and its
     further columns come through. Users with few items meet their own items first and look the
     similarity up; for users with very many items the neighbours of the target come first, so no
-    user's test and training items are paired as a whole in one task.
+    user's test and training items are paired as a whole in one task. ``max_items`` is the largest
+    number of items of a user, or a bound above it, when it is known.
     """
     extra = [c for c in owned.columns if c not in ("userId", "leader", "grp")]
     mine = owned.select("userId", F.col("leader").alias("j"), *[F.col(c).alias(f"neighbor_{c}") for c in extra])
     rows = targets.select(*ROW, F.col("leader").alias("i"))
     out = [*ROW, "i", "j", "cosine_sim", *[f"neighbor_{c}" for c in extra]]
-    if largest_user(owned) <= heavy_items:
+    if max_items is None:
+        max_items = largest_user(owned)
+    if max_items <= heavy_items:
         return rows.join(mine, "userId").join(similarities, ["i", "j"]).select(*out)
     heavy = owned.groupBy("userId").count().where(F.col("count") > heavy_items).select("userId")
     few = rows.join(heavy, "userId", "left_anti").join(mine, "userId").join(similarities, ["i", "j"])

@@ -14,7 +14,7 @@ from ratingloom.functions.scores import default_cluster_count, distance_to_cosin
 from ratingloom.operators.clustering import kmeans_item_clusters
 from ratingloom.operators.items import item_facts, leader_weights, owned_ratings, with_facts
 from ratingloom.operators.lsh import lsh_similarity_join
-from ratingloom.operators.pairing import BLOCK_ITEMS
+from ratingloom.operators.pairing import BLOCK_ITEMS, largest_user
 from ratingloom.operators.prediction import (
     HEAVY_ITEMS,
     all_neighbor_sums,
@@ -104,5 +104,7 @@ def lsh_cf(
     )
     cosines = near.select("i", "j", distance_to_cosine(F.col("distance")).alias("cosine_sim"))
     similarities = symmetric_similarities(stage(cosines, "similarities"))
-    neighbors = neighbor_ratings(targets_of(test, facts), similarities, owned_ratings(rated), heavy_items)
+    neighbors = neighbor_ratings(
+        targets_of(test, facts), similarities, owned_ratings(rated), heavy_items, largest_user(rated)
+    )
     return predict_ratings(weighted_rating_sums(neighbors))
