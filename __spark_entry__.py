@@ -191,6 +191,14 @@ def entry(spark: SparkSession) -> DataFrame:
     return exact_cf(*_split(spark, "/root/testdata/sf0.001"))
 
 
+try:
+    from ratingloom.llm import registry as llm_registry
+except ModuleNotFoundError as missing:
+    if not (missing.name or "").startswith(("ratingloom.llm", "corpus_pipeline")):
+        raise
+    llm_registry = None
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator; the ``*_hot_users`` entries force the plans made for skewed data."""
     return {
@@ -228,8 +236,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "group_cf": _group_cf,
         "cluster_cf": lambda s, d: _scored(cluster_cf(*_split(s, d), max_iter=oracles.KMEANS_ROUNDS)),
         "lsh_cf": _lsh_cf,
+        **(llm_registry.queries() if llm_registry else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    return oracles.oracle_sql() | (llm_registry.oracle_sql() if llm_registry else {})

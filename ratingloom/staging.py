@@ -1,36 +1,64 @@
 """Tables written between the steps of a long computation.
 
 A written table cuts the lineage, survives the loss of an executor, keeps column pruning and
-gives the planner true sizes for the next step.
+gives the planner true sizes for the next step. Written tables live in a folder that all executors
+reach: the one given, else ``spark.checkpoint.dir``, else a folder beside the session's warehouse tables.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session, or a fresh local one when Spark runs locally."""
+    """The shared folder of the session; no setting is changed."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    local = tempfile.mkdtemp(prefix="ratingloom-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    return (shared or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged").rstrip("/")
 
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{work_dir(spark)}/ratingloom/{label}-{uuid.uuid4().hex}"
+def fresh_path(spark: SparkSession, label: str, folder: str | None = None) -> str:
+    return f"{folder or work_dir(spark)}/ratingloom/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and return the written table."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that it belongs to."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Workspace:
+    """The written tables of one run. Its owner removes them once the results have been used."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
+        self.spark = spark
+        self.root = fresh_path(spark, "run", folder)
+        self._count = 0
+
+    def path(self, label: str) -> str:
+        self._count += 1
+        return f"{self.root}/{self._count:03d}-{label}"
+
+    def write(self, df: DataFrame, label: str, **how: str) -> str:
+        path = self.path(label)
+        df.write.parquet(path, **how)
+        return path
+
+    def stage(self, df: DataFrame, label: str) -> DataFrame:
+        """Write ``df`` once and return the written table."""
+        return self.spark.read.schema(df.schema).parquet(self.write(df, label))
+
+    def remove(self) -> None:
+        remove_path(self.spark, self.root)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.remove()
+
+
+def stage(df: DataFrame, label: str, space: Workspace | None = None) -> DataFrame:
+    """Write ``df`` once, into ``space`` or a run of its own, and return the written table."""
+    return (space or Workspace(df.sparkSession)).stage(df, label)
