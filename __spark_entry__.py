@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import os
 import sys
 from collections.abc import Callable
@@ -192,7 +193,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 try:
-    from ratingloom.llm import registry as llm_registry
+    llm_registry = importlib.import_module("ratingloom.llm.registry")
 except ModuleNotFoundError as missing:
     if not (missing.name or "").startswith(("ratingloom.llm", "corpus_pipeline")):
         raise
