@@ -10,7 +10,6 @@ Null text is empty and has no tokens; repeated rows are encoded each by itself;
 
 from __future__ import annotations
 
-import functools
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratingloom.llm.tables import ragged, text_bytes
+from ratingloom.llm.tables import per_process, ragged, text_bytes
 from ratingloom.llm.wordhash import SpanHasher, cuts
 
 LEAF_CHARS = 1 << 16
@@ -44,8 +43,7 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
-@functools.lru_cache(maxsize=4)
-def tokenizer(path: str):
+def _load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -55,6 +53,10 @@ def tokenizer(path: str):
     return found
 
 
+def tokenizer(path: str):
+    return per_process(("tokenizer", path), lambda: _load(path))
+
+
 class PieceEncoder:
     """Encodes batches of texts for a vocabulary with word ends that drops white space."""
 
@@ -166,9 +168,8 @@ class PieceEncoder:
         return flat, np.append(got, np.full(len(bounds) - len(got), len(flat), np.int64))
 
 
-@functools.lru_cache(maxsize=2)
 def piece_encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+    return per_process(("pieces", path), lambda: PieceEncoder(path))
 
 
 def _leaves(text: str, leaf_chars: int) -> list[tuple[int, int]]:
@@ -284,9 +285,8 @@ def encode(
         for batch in batches:
             for row in batch.to_pylist():
                 ids, first, end = _encoded(tok, row["leaf"], row["a"])
-                yield pa.RecordBatch.from_pydict(
-                    {"row": [row["row"]], "a": [row["a"]], "b": [row["b"]], "leaf": [row["leaf"]], "ids": [ids], "first": [first], "ends": [end]}
-                )
+                lists = {k: pa.array([v], pa.list_(pa.int32())) for k, v in (("ids", ids), ("first", first), ("ends", end))}
+                yield pa.RecordBatch.from_pydict({k: [row[k]] for k in ("row", "a", "b", "leaf")} | lists)
 
     def gather(found: pa.Table) -> pa.Table:
         parts = sorted(found.to_pylist(), key=lambda x: x["a"])

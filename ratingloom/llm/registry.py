@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ratingloom.llm import q_bpe
+from ratingloom.llm import q_bpe, q_packing
 
-MODULES = [q_bpe]
+MODULES = [q_bpe, q_packing]
 
 
 def queries() -> dict:
