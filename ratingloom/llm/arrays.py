@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 WHITE = r"[\x20\x09-\x0D]+"
 BLOCK = 512
+AROUND = 24
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -53,7 +54,7 @@ def running(lengths: Column) -> Column:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as structs of value, start and end in characters."""
+    """Leftmost non-overlapping matches: value, start and end in characters, and the text around up to the next match."""
     found = let(
         F.struct(
             F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"),
@@ -65,10 +66,16 @@ def matches(text: Column, pattern: str) -> Column:
                 m["value"],
                 lambda v, i: let(
                     F.get(at, i) + F.length(F.get(m["rest"], i)),
-                    lambda s: F.struct(v.alias("value"), s.alias("start"), (s + F.length(v)).alias("end")),
+                    lambda s: F.struct(
+                        v.alias("value"),
+                        s.alias("start"),
+                        (s + F.length(v)).alias("end"),
+                        F.right(F.get(m["rest"], i), F.lit(AROUND)).alias("before"),
+                        F.left(F.get(m["rest"], i + 1), F.lit(1)).alias("after"),
+                    ),
                 ),
             ),
         ),
     )
-    none = F.array().cast("array<struct<value:string,start:int,end:int>>")
+    none = F.array().cast("array<struct<value:string,start:int,end:int,before:string,after:string>>")
     return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(none)
