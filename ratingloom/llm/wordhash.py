@@ -27,12 +27,16 @@ class SpanHasher:
         self.power, self.inverse = _powers(BASE, PIECE), _powers(inverse, PIECE)
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """``data`` has at most ``PIECE`` bytes unless it is one span that is longer."""
+        """Hashes of spans of bytes."""
+        return self.of_values(_VALUE[data], starts, ends)
+
+    def of_values(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of spans of 64-bit values."""
         if len(data) > len(self.power):
             inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
             self.power, self.inverse = _powers(BASE, len(data)), _powers(inverse, len(data))
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_VALUE[data] * self.power[: len(data)], out=sums[1:])
+        np.cumsum(data * self.power[: len(data)], out=sums[1:])
         return mix((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64) * _VALUE[7])
 
 
