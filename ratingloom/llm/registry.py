@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ratingloom.llm import q_archives, q_bpe, q_jaccard, q_licences, q_packing, q_pii, q_quality, q_substrings
+from ratingloom.llm import q_archives, q_bpe, q_jaccard, q_languages, q_licences, q_packing, q_pii, q_quality, q_substrings
 
-MODULES = [q_quality, q_bpe, q_licences, q_jaccard, q_pii, q_packing, q_archives, q_substrings]
+MODULES = [q_quality, q_bpe, q_licences, q_jaccard, q_languages, q_packing, q_archives, q_pii, q_substrings]
 
 
 def queries() -> dict:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import types
+import uuid
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,6 +28,20 @@ def per_process(key: Hashable, make: Callable[[], Any]) -> Any:
     return kept[key]
 
 
+def share(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Broadcast an object of this subpackage's classes; workers hold the latest one."""
+    sent, mark = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+
+    def get() -> Any:
+        slot = per_process("shared", dict)
+        if mark not in slot:
+            slot.clear()
+            slot[mark] = pickle.loads(sent.value)
+        return slot[mark]
+
+    return get
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` for a function of one batch."""
 
