@@ -16,7 +16,7 @@ BLOCKS = "bucket int, kind int, block binary"
 
 
 def bucket_count(spark: SparkSession) -> int:
-    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:

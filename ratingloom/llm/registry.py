@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from ratingloom.llm import q_archives, q_bpe, q_jaccard, q_languages, q_licences, q_packing, q_pii, q_quality, q_substrings
 
 MODULES = [q_quality, q_bpe, q_licences, q_jaccard, q_languages, q_packing, q_archives, q_pii, q_substrings]
 
 
 def queries() -> dict:
-    return {name: query for m in MODULES for name, query in m.QUERIES.items()}
+    return {name: query for m in MODULES for name, query in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
+    whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()} | whole
