@@ -5,7 +5,7 @@ one component so that all have the same norm; then nearness by inner product is
 chunks of rows ordered by random projections. In each round every node brings its neighbours and reverse neighbours together, each with its vector in
 8 bits and the worst score of its list, and sends out the pairs that improve a list; only pairs with a new entry are tried. Rounds end when few lists
 change. Queries walk the graph from their own node, or from fixed entry nodes, always on from the best nodes not yet
-visited, with exact scores.
+visited, and the best nodes found are scored exactly on the original vectors.
 
 Rows whose vector is null, zero, holds null or non-finite components, or is not of the commonest length take no part, nor do rows
 without id. Of rows with one id the smallest vector counts. Ties go to the smaller id. With no more nodes than a list
@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from ratingloom.staging import Workspace
 
-LIST, SAMPLED, ROUNDS, ENOUGH = 32, 14, 9, 0.01
+LIST, SAMPLED, ROUNDS, ENOUGH = 40, 16, 10, 0.01
 CHUNK, TABLES = 96, 3
-BEAM, STEP, HOPS, ENTRIES = 40, 6, 2, 32
+BEAM, STEP, HOPS, ENTRIES = 96, 16, 6, 32
 EDGES = "node long, neighbour long, score float, fresh boolean"
 
 
@@ -138,7 +138,7 @@ def _round(graph: DataFrame, nodes: DataFrame, number: int) -> tuple[DataFrame,
     ranked = graph.withColumn("r", F.row_number().over(Window.partitionBy("node", "fresh").orderBy(draw, "neighbour")))
     used = ranked.withColumn("now", F.col("fresh") & (F.col("r") <= SAMPLED))
     kept = used.select("node", "neighbour", "score", (F.col("fresh") & ~F.col("now")).alias("fresh"))
-    active = used.where("now OR NOT fresh").select("node", "neighbour", "now")
+    active = used.where(f"r <= {SAMPLED}").select("node", "neighbour", "now")
     back = active.select(F.col("neighbour").alias("node"), F.col("node").alias("neighbour"), "now")
     back = back.withColumn("r", F.row_number().over(Window.partitionBy("node", "now").orderBy(draw, "neighbour"))).where(f"r <= {SAMPLED}").drop("r")
     meetings = active.unionByName(back).groupBy("node", "neighbour").agg(F.max("now").alias("now"))
@@ -151,7 +151,7 @@ def _round(graph: DataFrame, nodes: DataFrame, number: int) -> tuple[DataFrame,
         .agg(F.collect_list(F.struct("neighbour", "now", "q", "scale", "least")).alias("all"))
         .where(F.exists("all", lambda e: e["now"]))
         .select("all")
-    )  # a list holds at most LIST + 2 * SAMPLED + LIST entries
+    )  # a list holds at most 4 * SAMPLED entries
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,10 +236,16 @@ def search(index: Index, queries: DataFrame, k: int = 20, beam: int = BEAM) -> D
     def inner(x: pa.Array, y: pa.Array) -> pa.Array:
         return pa.array((_floats(x).astype(np.float64) * _floats(y).astype(np.float64)).sum(1))
 
+    @F.arrow_udf("double")
+    def rough(x: pa.Array, q: pa.Array, scale: pa.Array) -> pa.Array:
+        vectors, short = _floats(x), _bytes(q, "i1")
+        width = vectors.shape[1] if len(vectors) else 0
+        return pa.array((vectors * short[:, :width]).sum(1) * scale.to_numpy().astype(np.float64))
+
     def scored(pairs: DataFrame) -> DataFrame:
-        """Pairs of query_id and node with their score."""
-        near = pairs.join(nodes.select("node", F.col("v").alias("w")), "node")
-        return near.join(queries, "query_id").select("query_id", "node", inner("v", "w").alias("score"))
+        """Pairs of query_id and node with their score on 8-bit vectors, in units of the longest vector."""
+        near = pairs.join(index.nodes.select("node", "q", "scale"), "node")
+        return near.join(queries, "query_id").select("query_id", "node", rough("v", "q", "scale").alias("score"))
 
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")
     pool = space.stage(scored(first.distinct()).withColumn("visited", F.lit(False)), "pool")
@@ -253,7 +259,8 @@ def search(index: Index, queries: DataFrame, k: int = 20, beam: int = BEAM) -> D
         seen = pool.select("query_id", "node", "score", (F.col("visited") | (F.col("r") <= step)).alias("visited"))
         both = seen.unionByName(scored(found).withColumn("visited", F.lit(False)))
         pool = space.stage(both.withColumn("r", F.row_number().over(nearest)).where(f"r <= {beam + 2} OR visited").drop("r"), "pool")
-    results = pool.withColumn("r", F.row_number().over(nearest)).where(f"r <= {beam + 2}")
-    rows = results.join(nodes.select("node", "members"), "node").select("query_id", "score", F.explode("members").alias("vec_id"))
+    results = pool.withColumn("r", F.row_number().over(nearest)).where(f"r <= {beam + 2}").select("query_id", "node")
+    exact = results.join(nodes.withColumnRenamed("v", "w"), "node").join(queries, "query_id").withColumn("score", inner("v", "w"))
+    rows = exact.select("query_id", "score", F.explode("members").alias("vec_id"))
     rows = rows.where("vec_id <> query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return rows.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
