@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratingloom.llm.tables import per_process, ragged, text_bytes
+from ratingloom.llm.blocks import slices
+from ratingloom.llm.tables import per_process, ragged, text_bytes, tidy
 from ratingloom.llm.wordhash import SpanHasher, cuts
 
 LEAF_CHARS = 1 << 16
-SLOTS = 1 << 21  # remembered pieces of one worker
+PART = 1 << 22  # bytes of text encoded at a time
+SLOTS = 1 << 20  # remembered pieces of one worker
 _SPACE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
 _KIND = np.full(256, _ODD, np.uint8)
 _KIND[33:127] = _OTHER
@@ -122,7 +124,7 @@ class PieceEncoder:
     def _encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, folded, odd = self._pieces(data, bounds)
         keys = self.hasher(folded, starts, ends) | np.uint64(1)
-        slots = (keys >> np.uint64(64 - 21)).astype(np.int64)
+        slots = (keys >> np.uint64(64 - 20)).astype(np.int64)
         ids, counts = [], np.zeros(len(keys), np.int64)
         todo = np.arange(len(keys))
         parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -269,8 +271,10 @@ def encode(
         encoder = piece_encoder(path)
         for batch in batches:
             if batch.num_rows:
-                ids, offsets = encoder(batch.column(len(names)))
-                yield from finish(batch.select(names), ids, offsets)
+                for a, b in slices(text_bytes(batch.column(len(names)))[1], PART):
+                    part = batch.slice(a, b - a)
+                    yield from finish(part.select(names), *encoder(part.column(len(names))))
+                tidy()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,7 +1,7 @@
 """Pack documents into sequences of a fixed number of tokens, similar documents together.
 
 Every document is encoded, closed by an end id, and written once to a staged table. Document frequencies are
-counted over the whole table; there is at most one per id of the vocabulary. Each Arrow batch of the table is one shard
+counted over the whole table; there is at most one per id of the vocabulary. Up to ``SHARD`` bytes of an Arrow batch of the table are one shard
 with its own BM25 inverted index, so shards are bounded and need no shuffle. Within a shard a seed starts a window, its unused
 BM25 neighbours fill it, and the document that meets the window's end is cut there and becomes the next seed. What is
 left at a shard's end is cut at powers of two, which need no padding.
@@ -20,12 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ratingloom.llm.blocks import slices
 from ratingloom.llm.bpe import LEAF_CHARS, encode, tokenizer
-from ratingloom.llm.tables import ragged, text_bytes
+from ratingloom.llm.tables import ragged, text_bytes, tidy
 from ratingloom.staging import Workspace
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 TERMS, K1, B = 16, 1.2, 0.75
+SHARD = 1 << 22  # bytes of 16-bit ids
 
 
 def encoded_documents(docs: DataFrame, path: str, end_id: int, leaf_chars: int = LEAF_CHARS) -> DataFrame:
@@ -155,8 +157,8 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, space:
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for a in range(0, batch.num_rows, 1 << 14):
-                part = batch.slice(a, 1 << 14)
+            for a, b in slices(text_bytes(batch.column(1))[1], SHARD):
+                part = batch.slice(a, b - a)
                 data, bounds = text_bytes(part.column(1))
                 ids, offsets = np.frombuffer(data.tobytes(), np.uint16), bounds // 2
                 index = Shard(ids, offsets, idf, mean_length)
@@ -176,5 +178,6 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, space:
                     }
                 )
                 sequence += int(at[-1]) + 1 if len(at) else 0
+            tidy()
 
     return rows.mapInArrow(shards, PIECES)

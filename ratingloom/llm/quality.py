@@ -233,6 +233,6 @@ def verdict(s: Column, rules: list[Rule]) -> Column:
 
 def judged(docs: DataFrame, rules: list[Rule], name: str = "quality_stats", text: str = "text") -> DataFrame:
     """``docs`` with its statistics, ``base_failed`` and ``kept`` in one struct column."""
-    counted = docs.withColumn(name, statistics(F.col(text)))
-    s = F.col(name)
-    return counted.withColumn(name, s.withField("base_failed", base_failed(s)).withField("kept", verdict(s, rules)))
+    # One expression, so that a filter on the verdict counts every text once.
+    whole = let(statistics(F.col(text)), lambda s: s.withField("base_failed", base_failed(s)).withField("kept", verdict(s, rules)))
+    return docs.withColumn(name, whole)

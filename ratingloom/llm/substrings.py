@@ -24,12 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratingloom.llm.blocks import BLOCKS, bucket_count, bucket_of, deal, first_of_runs, gather, slices
-from ratingloom.llm.tables import mix, per_process, text_bytes
+from ratingloom.llm.tables import mix, per_process, text_bytes, tidy
 from ratingloom.llm.wordhash import SpanHasher, grams, inside, words
 from ratingloom.staging import Workspace
 
 ANCHOR = 5
-PART = 1 << 23  # bytes of text worked on at a time
+PART = 1 << 22  # bytes of text worked on at a time
 MARK_BITS = 1 << 26
 RUNS = {"anchor": "<u8", "key": "<u8", "doc": "<i8", "variant": "<u4", "start": "<u4", "count": "<u4"}
 WINDOWS = {"key": "<u8", "doc": "<i8", "variant": "<u4", "start": "<u4"}
@@ -79,6 +79,7 @@ def _parted(batch: pa.RecordBatch, least: int) -> Iterator[Part]:
     data, bounds = text_bytes(batch.column(2))
     for a, b in slices(bounds, PART):
         yield Part(docs[a:b], variants[a:b], data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], least)
+    tidy()
 
 
 def _earlier(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import sys
 import types
@@ -28,6 +29,13 @@ def per_process(key: Hashable, make: Callable[[], Any]) -> Any:
     return kept[key]
 
 
+def tidy() -> None:
+    """Give freed memory back to the system; workers wait for further tasks beside those that still run."""
+    pa.default_memory_pool().release_unused()
+    trim = per_process("trim", lambda: getattr(ctypes.CDLL(None), "malloc_trim", None) or (lambda _: 0))
+    trim(0)
+
+
 def share(spark: SparkSession, value: Any) -> Callable[[], Any]:
     """Broadcast an object of this subpackage's classes; workers hold the latest one."""
     sent, mark = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
