@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 import oracles
 from ratingloom.functions.scores import distance_to_cosine
 from ratingloom.operators.evaluation import evaluate_predictions
-from ratingloom.operators.items import item_facts, leader_weights, owned_ratings, with_facts
-from ratingloom.operators.lsh import lsh_item_hashes, lsh_similarity_join
+from ratingloom.operators.items import item_facts, leader_weights, with_facts
+from ratingloom.operators.lsh import hashes_of_items, lsh_item_hashes, lsh_similarity_join
 from ratingloom.operators.prediction import (
     neighbor_ratings,
     predict_ratings,
@@ -27,6 +27,7 @@ from ratingloom.operators.prediction import (
 from ratingloom.operators.profile import dataset_stats, default_cluster_count, preview
 from ratingloom.operators.similarity import (
     item_cosine,
+    pair_cosines,
     symmetric_similarities,
     within_group_cosine,
     within_group_pairs,
@@ -36,9 +37,9 @@ from ratingloom.operators.vectors import item_user_ratings, item_vectors, normal
 from ratingloom.plans.experiment import run_experiment
 from ratingloom.plans.recommenders import cluster_cf, exact_cf, group_cf, item_clusters, lsh_cf
 from ratingloom.sources.order_ratings import order_lines, order_ratings
-from ratingloom.sources.ratings_files import convert_dat, csv_columns, read_ratings_csv
+from ratingloom.sources.ratings_files import convert_all, convert_dat, csv_columns, load_ratings, read_ratings_csv
 from ratingloom.sources.summaries import read_summary
-from ratingloom.staging import fresh_path
+from ratingloom.staging import Workspace, fresh_path, stage
 
 SPARSE, DENSE = "l_partkey", "l_suppkey"
 GROUPS, SLICE = oracles.GROUPS, oracles.SLICE
@@ -60,9 +61,22 @@ def _scored(df: DataFrame) -> DataFrame:
     return _rounded(df.select("userId", "itemId", "pred_rating", "actual_rating"), "pred_rating")
 
 
-def _weights(spark: SparkSession, sf: str, item: str = SPARSE) -> DataFrame:
-    train, _ = _split(spark, sf, item)
-    return leader_weights(with_facts(train, item_facts(train)))
+def _with_copies(spark: SparkSession, sf: str, item: str = SPARSE) -> tuple[DataFrame, DataFrame]:
+    """The split, with a copy of every tenth item added to its training side."""
+    train, test = _split(spark, sf, item)
+    copied = train.where("itemId % 10 = 0").withColumn("itemId", F.col("itemId") + oracles.COPY)
+    return train.unionByName(copied), test
+
+
+def _overlap(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The split, with some training rows in the test side as well."""
+    train, test = _split(spark, sf)
+    return train, test.unionByName(train.where("(userId + itemId) % 7 = 0"))
+
+
+def _leaders(train: DataFrame) -> tuple[DataFrame, DataFrame]:
+    facts = stage(item_facts(train), "facts")
+    return facts, leader_weights(with_facts(train, facts))
 
 
 def _scan_ratings(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,11 +92,24 @@ def _convert_dat(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.csv(out, header=True, schema="userId bigint, movieId bigint, rating double, timestamp bigint")
 
 
-def _experiment_summary(spark: SparkSession, sf: str) -> DataFrame:
+def _named_datasets(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw files of a named dataset, converted and loaded by name."""
+    base = Workspace(spark).path("data")
+    order_lines(spark, sf).select(F.concat_ws("::", "userId", "itemId", "rating", "ts")).write.text(
+        f"{base}/ml-1m/ratings.dat"
+    )
+    convert_all(spark, base)
+    return load_ratings(spark, "ml-1m", base)
+
+
+def _experiment_summary(spark: SparkSession, sf: str, method: str = "exact", **params: float) -> DataFrame:
+    """A summary row with all columns but the time."""
     out = fresh_path(spark, "summary")
-    run_experiment(spark, order_ratings(spark, sf), "exact", out=out, dataset="orders")
-    columns = ["Dataset", "Train Size", "Test Size", "Similarity", "Scored Rows", "RMSE", "MAE"]
-    return _rounded(read_summary(spark, out).select(*columns), "RMSE", "MAE")
+    run_experiment(spark, order_ratings(spark, sf), method, params, out=out, dataset="orders")
+    return _rounded(read_summary(spark, out).drop("Execution Time (s)"), "RMSE", "MAE")
+
+
+_LSH = {"bucket_length": oracles.BUCKET, "num_hash_tables": oracles.TABLES, "max_distance": oracles.SPARSE_DISTANCE}
 
 
 def _item_user_ratings(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,29 +147,31 @@ def _group_cosines(spark: SparkSession, sf: str) -> DataFrame:
     return within_group_cosine(train, _groups(train))
 
 
-def _lsh_item_hashes(spark: SparkSession, sf: str) -> DataFrame:
-    hashes = lsh_item_hashes(_weights(spark, sf), oracles.BUCKET, oracles.TABLES, oracles.SEED)
-    return hashes.select(F.col("leader").alias("itemId"), F.posexplode("hashes").alias("tbl", "bucket"))
+def _lsh_item_hashes(train: DataFrame) -> DataFrame:
+    facts, weights = _leaders(train)
+    hashes = hashes_of_items(lsh_item_hashes(weights, oracles.BUCKET, oracles.TABLES, oracles.SEED), facts)
+    return hashes.select("itemId", F.posexplode("hashes").alias("tbl", "bucket"))
 
 
-def _lsh_pairs(spark: SparkSession, sf: str, **limits: int) -> DataFrame:
-    weights = _weights(spark, sf, DENSE)
+def _lsh_pairs(train: DataFrame, **limits: int) -> DataFrame:
+    facts, weights = _leaders(train)
     return lsh_similarity_join(
-        weights, oracles.DENSE_DISTANCE, oracles.BUCKET, oracles.TABLES, oracles.SEED, **limits
+        weights, oracles.DENSE_DISTANCE, oracles.BUCKET, oracles.TABLES, oracles.SEED, facts=facts, **limits
     )
 
 
 def _distance_to_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = _lsh_pairs(spark, sf).withColumn("cosine_sim", distance_to_cosine(F.col("distance")))
+    pairs = _lsh_pairs(_split(spark, sf, DENSE)[0]).withColumn("cosine_sim", distance_to_cosine(F.col("distance")))
     return _rounded(pairs, "distance", "cosine_sim")
 
 
 def _neighbors(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _split(spark, sf)
     facts = item_facts(train, _groups(train))
-    similarities = symmetric_similarities(_group_cosines(spark, sf))
-    owned = with_facts(train, facts).select("userId", "leader", "itemId", "rating")
-    return neighbor_ratings(targets_of(test, facts), similarities, owned)
+    rated = with_facts(train, facts)
+    similarities = symmetric_similarities(pair_cosines(leader_weights(rated), within=["grp"]))
+    owned = rated.select("userId", "leader", "itemId", "rating")
+    return neighbor_ratings(targets_of(test, facts, train), similarities, owned)
 
 
 def _neighbor_ratings(spark: SparkSession, sf: str) -> DataFrame:
@@ -220,10 +249,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "within_group_cosine": lambda s, d: _rounded(_group_cosines(s, d), "cosine_sim"),
         "symmetric_similarities": lambda s, d: _rounded(symmetric_similarities(_group_cosines(s, d)), "cosine_sim"),
         "kmeans_item_clusters": lambda s, d: item_clusters(_split(s, d)[0], max_iter=oracles.KMEANS_ROUNDS),
-        "lsh_item_hashes": _lsh_item_hashes,
-        "lsh_similarity_join": lambda s, d: _rounded(_lsh_pairs(s, d), "distance"),
+        "lsh_item_hashes": lambda s, d: _lsh_item_hashes(_split(s, d)[0]),
+        "lsh_similarity_join": lambda s, d: _rounded(_lsh_pairs(_split(s, d, DENSE)[0]), "distance"),
         "lsh_similarity_join_hot_users": lambda s, d: _rounded(
-            _lsh_pairs(s, d, block_items=16, prune_above=8), "distance"
+            _lsh_pairs(_split(s, d, DENSE)[0], block_items=16, prune_above=8), "distance"
         ),
         "distance_to_cosine": _distance_to_cosine,
         "neighbor_ratings": _neighbor_ratings,
@@ -237,6 +266,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "group_cf": _group_cf,
         "cluster_cf": lambda s, d: _scored(cluster_cf(*_split(s, d), max_iter=oracles.KMEANS_ROUNDS)),
         "lsh_cf": _lsh_cf,
+        "experiment_summary_lsh": lambda s, d: _experiment_summary(s, d, "lsh", **_LSH),
+        "experiment_summary_cluster": lambda s, d: _experiment_summary(s, d, "cluster", max_iter=oracles.KMEANS_ROUNDS),
+        "named_datasets": _named_datasets,
+        "exact_cf_overlap": lambda s, d: _scored(exact_cf(*_overlap(s, d))),
+        "exact_cf_overlap_hot_users": lambda s, d: _scored(exact_cf(*_overlap(s, d), heavy_items=32, block_items=8)),
+        "exact_cf_copies": lambda s, d: _scored(exact_cf(*_with_copies(s, d))),
+        "exact_cf_copies_hot_users": lambda s, d: _scored(exact_cf(*_with_copies(s, d), heavy_items=32, block_items=8)),
+        "item_cosine_copies": lambda s, d: _rounded(item_cosine(_with_copies(s, d, DENSE)[0]), "cosine_sim"),
+        "within_group_pairs_copies": lambda s, d: within_group_pairs(
+            (t := _with_copies(s, d)[0]), _groups(t)
+        ),
+        "lsh_item_hashes_copies": lambda s, d: _lsh_item_hashes(_with_copies(s, d)[0]),
+        "lsh_similarity_join_copies": lambda s, d: _rounded(_lsh_pairs(_with_copies(s, d, DENSE)[0]), "distance"),
+        "kmeans_item_clusters_copies": lambda s, d: item_clusters(
+            _with_copies(s, d)[0], max_iter=oracles.KMEANS_ROUNDS
+        ),
         **(llm_registry.queries() if llm_registry else {}),
     }
 

@@ -13,40 +13,42 @@ SPARSE_DISTANCE = 1.3
 TABLES = 8
 BUCKET = 1.5
 SEED = 42
+COPY = 1_000_000
+OVERLAP = "is_test OR (userId + itemId) % 7 = 0"
 KMEANS_ROUNDS = 20
 
 
-def ratings(item: str = "l_partkey") -> str:
+def ratings(item: str = "l_partkey", test: str = "is_test", copies: bool = False) -> str:
+    """Ratings and their split; ``test`` chooses the test rows, ``copies`` adds a copy of every tenth item to train."""
+    spread = mixed(f"({mixed('userId', 2 * SEED)} + itemId % 2147483648)", 2 * SEED + 1)
+    copied = f" UNION ALL SELECT userId, itemId + {COPY}, rating FROM marked WHERE NOT is_test AND itemId % 10 = 0"
     return f"""ratings AS MATERIALIZED (
   SELECT CAST(o_custkey AS BIGINT) AS userId, CAST({item} AS BIGINT) AS itemId,
          max(CAST(ceil(l_quantity / 5) AS DOUBLE) / 2) AS rating
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey
   GROUP BY o_custkey, {item}),
 marked AS MATERIALIZED (
-  SELECT *, ((userId * 7919 + itemId * 104729 + 42) % 99991) % 10 = 0 AS is_test FROM ratings),
-train AS MATERIALIZED (SELECT userId, itemId, rating FROM marked WHERE NOT is_test),
-test AS MATERIALIZED (SELECT userId, itemId, rating FROM marked WHERE is_test)"""
+  SELECT *, ({spread}) % 10 = 0 AS is_test FROM ratings),
+train AS MATERIALIZED (SELECT userId, itemId, rating FROM marked WHERE NOT is_test{copied if copies else ""}),
+test AS MATERIALIZED (SELECT userId, itemId, rating FROM marked WHERE {test})"""
 
 
 def items(group: str = "0") -> str:
-    """Items with their leader (smallest item with the same vector in the same group)."""
-    return f"""vectors AS (
-  SELECT itemId, CAST({group} AS BIGINT) AS grp, list(row(userId, rating) ORDER BY userId) AS v,
+    """Item vectors by group."""
+    return f"""items AS MATERIALIZED (
+  SELECT itemId AS item, CAST({group} AS BIGINT) AS grp, list(row(userId, rating) ORDER BY userId) AS v,
          sum(rating * rating) AS norm2, count(*) AS n_raters
-  FROM train GROUP BY itemId),
-items AS MATERIALIZED (
-  SELECT itemId, grp, norm2, n_raters, min(itemId) OVER (PARTITION BY v, grp) AS leader
-  FROM vectors WHERE norm2 > 0),
+  FROM train GROUP BY itemId HAVING sum(rating * rating) > 0),
 weights AS MATERIALIZED (
-  SELECT t.userId, t.itemId AS leader, t.rating, rating / sqrt(norm2) AS weight, norm2, n_raters, grp
-  FROM train t JOIN items ON t.itemId = items.itemId WHERE items.leader = items.itemId)"""
+  SELECT t.userId, t.itemId AS item, t.rating, rating / sqrt(norm2) AS weight, norm2, n_raters, grp
+  FROM train t JOIN items ON t.itemId = items.item)"""
 
 
 COSINES = """cosines AS MATERIALIZED (
-  SELECT a.leader AS i, b.leader AS j, any_value(a.grp) AS grp, count(*) AS n_common,
+  SELECT a.item AS i, b.item AS j, any_value(a.grp) AS grp, count(*) AS n_common,
          sum(a.rating * b.rating) / sqrt(any_value(a.norm2) * any_value(b.norm2)) AS cosine_sim
-  FROM weights a JOIN weights b ON a.userId = b.userId AND a.grp = b.grp AND a.leader < b.leader
-  GROUP BY a.leader, b.leader)"""
+  FROM weights a JOIN weights b ON a.userId = b.userId AND a.grp = b.grp AND a.item < b.item
+  GROUP BY a.item, b.item)"""
 
 SYMMETRIC = """similarities AS MATERIALIZED (
   SELECT i, j, cosine_sim FROM cosines UNION ALL SELECT j, i, cosine_sim FROM cosines)"""
@@ -54,9 +56,8 @@ SYMMETRIC = """similarities AS MATERIALIZED (
 NEIGHBORS = """neighbors AS MATERIALIZED (
   SELECT t.userId, t.itemId AS target_item, t.rating AS actual_rating, r.itemId AS neighbor_item,
          s.cosine_sim, r.rating AS neighbor_rating
-  FROM test t JOIN items ti ON t.itemId = ti.itemId
-  JOIN train r ON t.userId = r.userId JOIN items ri ON r.itemId = ri.itemId
-  JOIN similarities s ON s.i = ti.leader AND s.j = ri.leader),
+  FROM test t JOIN train r ON t.userId = r.userId
+  JOIN similarities s ON s.i = t.itemId AND s.j = r.itemId),
 sums AS MATERIALIZED (
   SELECT userId, target_item, actual_rating, sum(cosine_sim * neighbor_rating) AS weighted_rating_sum,
          sum(abs(cosine_sim)) AS similarity_sum
@@ -90,8 +91,8 @@ def hashes(tables: int = TABLES) -> str:
 axes AS MATERIALIZED ({axes}),
 lengths AS (SELECT t, sqrt(sum(g * g)) AS len FROM axes GROUP BY t),
 hashes AS MATERIALIZED (
-  SELECT leader, t, CAST(floor(sum(weight * g) / any_value(len) / {BUCKET}) AS INTEGER) AS bucket
-  FROM weights JOIN axes USING (userId) JOIN lengths USING (t) GROUP BY leader, t)"""
+  SELECT item, t, CAST(floor(sum(weight * g) / any_value(len) / {BUCKET}) AS INTEGER) AS bucket
+  FROM weights JOIN axes USING (userId) JOIN lengths USING (t) GROUP BY item, t)"""
 
 
 def near(max_distance: float) -> str:
@@ -100,17 +101,17 @@ def near(max_distance: float) -> str:
     SELECT i, j, sqrt(greatest(2.0 - cosine_sim * 2, 0.0)) AS distance FROM cosines)
   WHERE distance < {max_distance} AND EXISTS (
     SELECT 1 FROM hashes x JOIN hashes y ON x.t = y.t AND x.bucket = y.bucket
-    WHERE x.leader = i AND y.leader = j))"""
+    WHERE x.item = i AND y.item = j))"""
 
 
 def clusters(rounds: int = KMEANS_ROUNDS, seed: int = SEED) -> str:
     """KMeans unrolled: centres of an assignment, then the nearest centre of every item."""
     parts = [
         f"""draws AS (
-  SELECT leader, row_number() OVER (ORDER BY -ln({uniform('leader', seed)}) / n, leader) - 1 AS cluster
-  FROM (SELECT leader, max(n_raters) AS n FROM weights GROUP BY leader)),
+  SELECT item, row_number() OVER (ORDER BY -ln({uniform('item', seed)}) / n, item) - 1 AS cluster
+  FROM (SELECT min(item) AS item, max(n_raters) * count(*) AS n FROM items GROUP BY v)),
 a0 AS MATERIALIZED (
-  SELECT leader, cluster FROM draws
+  SELECT item, cluster FROM draws
   WHERE cluster < (SELECT greatest(10, least(100, floor(sqrt(count(*))))) FROM items))"""
     ]
     for r in range(rounds):
@@ -118,20 +119,20 @@ a0 AS MATERIALIZED (
         parts.append(
             f"""m{r} AS MATERIALIZED (
   SELECT cluster, userId, sum(weight) / any_value(size) AS value
-  FROM weights JOIN a{r} USING (leader)
+  FROM weights JOIN a{r} USING (item)
   JOIN (SELECT cluster, count(*) AS size FROM a{r} GROUP BY cluster) USING (cluster)
   GROUP BY cluster, userId),
 n{r} AS MATERIALIZED (SELECT cluster, sum(value * value) AS norm2 FROM m{r} GROUP BY cluster),
 d{r} AS MATERIALIZED (
-  SELECT leader, cluster, sum(weight * value) AS dot FROM weights JOIN m{r} USING (userId) GROUP BY leader, cluster),
+  SELECT item, cluster, sum(weight * value) AS dot FROM weights JOIN m{r} USING (userId) GROUP BY item, cluster),
 a{r + 1} AS MATERIALIZED (
-  SELECT leader, min(offer) % 65536 AS cluster FROM (
-    SELECT leader, {step.format(dot="dot")} AS offer FROM d{r} JOIN n{r} USING (cluster)
+  SELECT item, min(offer) % 65536 AS cluster FROM (
+    SELECT item, {step.format(dot="dot")} AS offer FROM d{r} JOIN n{r} USING (cluster)
     UNION ALL
-    SELECT leader, (SELECT min({step.format(dot="0.0")}) FROM n{r}) FROM (SELECT DISTINCT leader FROM weights))
-  GROUP BY leader)"""
+    SELECT item, (SELECT min({step.format(dot="0.0")}) FROM n{r}) FROM (SELECT DISTINCT item FROM weights))
+  GROUP BY item)"""
         )
-    parts.append(f"clusters AS MATERIALIZED (SELECT leader, CAST(cluster AS INTEGER) AS cluster FROM a{rounds})")
+    parts.append(f"clusters AS MATERIALIZED (SELECT item, CAST(cluster AS INTEGER) AS cluster FROM a{rounds})")
     return ",\n".join(parts)
 
 
@@ -153,7 +154,7 @@ def oracle_sql() -> dict[str, str]:
   SELECT i, j, cosine_sim FROM cosines_near UNION ALL SELECT j, i, cosine_sim FROM cosines_near)"""
     near_final = "SELECT i, j, round(distance, 6) AS distance FROM near"
     in_cluster = f"""clustered_cosines AS MATERIALIZED (
-  SELECT i, j, cosine_sim FROM cosines JOIN clusters a ON i = a.leader JOIN clusters b ON j = b.leader
+  SELECT i, j, cosine_sim FROM cosines JOIN clusters a ON i = a.item JOIN clusters b ON j = b.item
   WHERE a.cluster = b.cluster),
 {SYMMETRIC.replace("FROM cosines", "FROM clustered_cosines")}"""
     raw = """SELECT CAST(o_custkey AS BIGINT) AS userId, CAST(l_partkey AS BIGINT) AS "movieId",
@@ -162,6 +163,21 @@ def oracle_sql() -> dict[str, str]:
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey"""
     lsh_dense = with_(dense, items(), COSINES, hashes(), near(DENSE_DISTANCE), final=near_final)
     exact_final = with_(*exact, final=SCORED)
+    copied, copied_dense = ratings(copies=True), ratings("l_suppkey", copies=True)
+    overlap = ratings(test=OVERLAP)
+    lsh = [base, items(), COSINES, hashes(), near(SPARSE_DISTANCE), near_cosines, lsh_similarities, NEIGHBORS]
+    cluster = [base, items(), COSINES, clusters(), in_cluster, NEIGHBORS]
+    nothing = "CAST(NULL AS {0})".format
+
+    def summary(similarity: str, clustering: str = nothing("VARCHAR"), threshold: str = nothing("DOUBLE"),
+                tables: str = nothing("INTEGER"), bucket: str = nothing("DOUBLE")) -> str:
+        return f"""SELECT 'orders' AS "Dataset", (SELECT count(*) FROM train) AS "Train Size",
+  (SELECT count(*) FROM test) AS "Test Size", '{similarity}' AS "Similarity", {clustering} AS "Clustering",
+  {threshold} AS "Similarity Threshold", {tables} AS "Num Hash Tables", {bucket} AS "Bucket Length",
+  count(*) AS "Scored Rows", round(sqrt(avg(power(pred_rating - actual_rating, 2))), 6) AS "RMSE",
+  round(avg(abs(pred_rating - actual_rating)), 6) AS "MAE" FROM scored"""
+
+    k = "(SELECT CAST(greatest(10, least(100, floor(sqrt(count(*))))) AS INTEGER) FROM items)"
     return {
         "scan_ratings": with_(base, final="SELECT userId, itemId, rating FROM ratings"),
         "convert_dat": raw,
@@ -195,7 +211,7 @@ FROM train t JOIN (SELECT itemId, sum(rating * rating) AS n FROM train GROUP BY
         "within_group_pairs": with_(base, grouped, COSINES, final="SELECT grp, i, j, n_common FROM cosines"),
         "within_group_cosine": with_(base, grouped, COSINES, final=f"{pair} cosines"),
         "symmetric_similarities": with_(base, grouped, COSINES, SYMMETRIC, final=f"{pair} similarities"),
-        "lsh_item_hashes": with_(base, items(), hashes(), final="SELECT leader AS itemId, t AS tbl, bucket FROM hashes"),
+        "lsh_item_hashes": with_(base, items(), hashes(), final="SELECT item AS itemId, t AS tbl, bucket FROM hashes"),
         "lsh_similarity_join": lsh_dense,
         "lsh_similarity_join_hot_users": lsh_dense,
         "distance_to_cosine": with_(
@@ -230,17 +246,35 @@ FROM neighbors""",
             base,
             items(),
             clusters(),
-            final="SELECT items.itemId, cluster FROM items JOIN clusters ON items.leader = clusters.leader",
+            final="SELECT item AS itemId, cluster FROM clusters",
+        ),
+        "cluster_cf": with_(*cluster, final=SCORED),
+        "lsh_cf": with_(*lsh, final=SCORED),
+        "experiment_summary": with_(*exact, final=summary("Cosine (exact)")),
+        "experiment_summary_lsh": with_(
+            *lsh,
+            final=summary("Cosine (approximated with LSH)", threshold=f"CAST({SPARSE_DISTANCE} AS DOUBLE)",
+                          tables=str(TABLES), bucket=f"CAST({BUCKET} AS DOUBLE)"),
+        ),
+        "experiment_summary_cluster": with_(
+            *cluster, final=summary("Cosine (within cluster)", clustering=f"'KMeans (k=' || {k} || ')'")
+        ),
+        "named_datasets": with_(base, final="SELECT userId, itemId, rating FROM ratings"),
+        "exact_cf_overlap": with_(overlap, *exact[1:], final=SCORED),
+        "exact_cf_overlap_hot_users": with_(overlap, *exact[1:], final=SCORED),
+        "exact_cf_copies": with_(copied, *exact[1:], final=SCORED),
+        "exact_cf_copies_hot_users": with_(copied, *exact[1:], final=SCORED),
+        "item_cosine_copies": with_(copied_dense, items(), COSINES, final=f"{pair} cosines"),
+        "within_group_pairs_copies": with_(
+            copied, grouped, COSINES, final="SELECT grp, i, j, n_common FROM cosines"
+        ),
+        "lsh_item_hashes_copies": with_(
+            copied, items(), hashes(), final="SELECT item AS itemId, t AS tbl, bucket FROM hashes"
         ),
-        "cluster_cf": with_(base, items(), COSINES, clusters(), in_cluster, NEIGHBORS, final=SCORED),
-        "lsh_cf": with_(
-            base, items(), COSINES, hashes(), near(SPARSE_DISTANCE), near_cosines, lsh_similarities, NEIGHBORS, final=SCORED
+        "lsh_similarity_join_copies": with_(
+            copied_dense, items(), COSINES, hashes(), near(DENSE_DISTANCE), final=near_final
         ),
-        "experiment_summary": with_(
-            *exact,
-            final="""SELECT 'orders' AS "Dataset", (SELECT count(*) FROM train) AS "Train Size",
-  (SELECT count(*) FROM test) AS "Test Size", 'Cosine (exact)' AS "Similarity", count(*) AS "Scored Rows",
-  round(sqrt(avg(power(pred_rating - actual_rating, 2))), 6) AS "RMSE",
-  round(avg(abs(pred_rating - actual_rating)), 6) AS "MAE" FROM scored""",
+        "kmeans_item_clusters_copies": with_(
+            copied, items(), clusters(), final="SELECT item AS itemId, cluster FROM clusters"
         ),
     }

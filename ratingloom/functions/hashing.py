@@ -28,6 +28,19 @@ def _mixed(key: str, salt: int) -> str:
     return f"(({once} * {once} + {once} * {ROUND_TWO} + 1) % {PRIME}L)"
 
 
+def mixed(key: Column, salt: int) -> Column:
+    """The same for a column: each round is a step of its own, so ``key`` is computed once."""
+    salt %= 1000003
+    prime = F.lit(PRIME).cast("bigint")
+
+    def turn(h: Column, factor: int, add: int) -> Column:
+        return (h * h + h * factor + add) % prime
+
+    start = F.pmod(F.pmod(key, prime) * SPREAD + (salt * SALT_SPREAD + 12345), prime)
+    once = F.transform(F.array(start), lambda h: turn(h, ROUND_ONE, salt))
+    return F.get(F.transform(once, lambda h: turn(h, ROUND_TWO, 1)), F.lit(0))
+
+
 def _uniform(key: str, salt: int) -> str:
     return f"((CAST({_mixed(key, salt)} AS DOUBLE) + 0.5D) / {float(PRIME)}D)"
 

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ratingloom.operators.pairing import corated
+
 
 def item_facts(train: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """``itemId, leader, n_raters, norm2[, grp]``, one row per item with a non-zero vector.
+    """``itemId, leader, copies, n_raters, norm2[, grp]``, one row per item with a non-zero vector.
 
     Items rated alike by exactly the same users are copies: they share every similarity. The
     smallest id among them (inside a group, if ``groups(itemId, grp)`` is given) leads, and pairs
-    are only ever formed between leaders, so a mass of copies never meets itself pair by pair.
+    are first formed between leaders, so a mass of copies does not meet itself pair by pair; ``expand_pairs``
+    gives the pairs of all items.
     Two independent 64-bit checksums over the (user, rating) set identify a vector; they combine
     on the map side, so a popular item is not gathered anywhere.
     """
-    pair = ["userId", "rating"]
     facts = (
         train.groupBy("itemId")
         .agg(
@@ -27,11 +29,11 @@ def item_facts(train: DataFrame, groups: DataFrame | None = None) -> DataFrame:
         .where("norm2 > 0")
     )
     same = ["n_raters", "sum_a", "sum_b"]
-    kept = ["itemId", "leader", "n_raters", "norm2"]
+    kept = ["itemId", "leader", "copies", "n_raters", "norm2"]
     if groups is not None:
         facts = facts.join(groups.select("itemId", "grp"), "itemId")
         same, kept = same + ["grp"], kept + ["grp"]
-    leaders = facts.groupBy(*same).agg(F.min("itemId").alias("leader"))
+    leaders = facts.groupBy(*same).agg(F.min("itemId").alias("leader"), F.count("*").alias("copies"))
     return facts.join(leaders, same).select(*kept)
 
 
@@ -49,3 +51,24 @@ def owned_ratings(rated: DataFrame) -> DataFrame:
     """What each user rated, by leader: total rating and number of rated copies."""
     keys = ["userId", "leader"] + (["grp"] if "grp" in rated.columns else [])
     return rated.groupBy(*keys).agg(F.sum("rating").alias("rating_sum"), F.count("*").alias("n_owned"))
+
+
+def expand_pairs(pairs: DataFrame, facts: DataFrame, **alike: Column) -> DataFrame:
+    """Pairs of leaders ``i, j, ...`` as pairs of items (i < j), with the pairs inside every set of copies.
+
+    ``alike`` gives the further columns of two copies, from columns of ``facts``. Sets of copies are cut into blocks like the
+    items of a user, so a large set is spread over many tasks.
+    """
+    measures = [c for c in pairs.columns if c not in ("i", "j")]
+    member = facts.select("leader", "itemId")
+    spread = pairs.join(member.select(F.col("leader").alias("i"), F.col("itemId").alias("a")), "i").join(
+        member.select(F.col("leader").alias("j"), F.col("itemId").alias("b")), "j"
+    )
+    spread = spread.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), *measures)
+    sets = facts.where("copies > 1").select(
+        F.col("leader").alias("userId"), F.col("itemId").alias("leader"), *[alike[m].alias(m) for m in measures]
+    )
+    same = corated(sets, measures).select(
+        F.col("a_leader").alias("i"), F.col("b_leader").alias("j"), *[F.col(f"a_{m}").alias(m) for m in measures]
+    )
+    return spread.unionByName(same)

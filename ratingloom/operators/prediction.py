@@ -3,11 +3,12 @@
 For a test row (u, i) the wanted sums run over the items j that u rated and, through the cosine,
 over the users v who rated both i and j:
 
-    sum_j s(i, j) * r(u, j)  =  sum_j sum_v w(v, i) * w(v, j) * r(u, j)
+    sum_j s(i, j) * r(u, j)  =  sum_j sum_v w(v, i) * w(v, j) * r(u, j)        over j other than i
 
 They can be added up item pair by item pair (first over v) or user pair by user pair (first over
 j). The first is cheap for users with few items, the second for users with very many, and both
-give the same sums as long as no similarity is negative, which holds for ratings that are not.
+give the same sums as long as no rating is negative. With negative ratings every user takes the first way, at every size.
+A user's own training rating of the target never counts; copies of the target count with cosine 1.
 """
 
 from __future__ import annotations
@@ -26,10 +27,15 @@ HEAVY_ITEMS = 2048
 ROW = ["userId", "itemId", "actual_rating"]
 
 
-def targets_of(test: DataFrame, facts: DataFrame) -> DataFrame:
-    """Test rows with the leader of their item; items unknown to the training side drop out."""
+def targets_of(test: DataFrame, facts: DataFrame, train: DataFrame) -> DataFrame:
+    """Test rows with the leader of their item and the user's own training rating of it, if there is one.
+
+    Items unknown to the training side drop out. ``own_rating`` and ``own_n`` are 0 without an own rating.
+    """
     kept = ["itemId", "leader"] + (["grp"] if "grp" in facts.columns else [])
-    return test.withColumnRenamed("rating", "actual_rating").join(facts.select(*kept), "itemId")
+    own = train.select("userId", "itemId", F.col("rating").alias("own_rating"), F.lit(1).cast("bigint").alias("own_n"))
+    known = test.withColumnRenamed("rating", "actual_rating").join(facts.select(*kept), "itemId")
+    return known.join(own, ["userId", "itemId"], "left").fillna({"own_rating": 0.0, "own_n": 0})
 
 
 def neighbor_ratings(
@@ -38,27 +44,50 @@ def neighbor_ratings(
     owned: DataFrame,
     heavy_items: int = HEAVY_ITEMS,
     max_items: int | None = None,
+    sparse: bool = False,
 ) -> DataFrame:
-    """Each test row with every similar item its user rated.
+    """Each test row with every similar item its user rated, and with the copies of its own item.
 
     ``similarities`` is symmetric (``i, j, cosine_sim``). ``owned`` has ``userId, leader`` and its
     further columns come through. Users with few items meet their own items first and look the
     similarity up; for users with very many items the neighbours of the target come first, so no
     user's test and training items are paired as a whole in one task. ``max_items`` is the largest
-    number of items of a user, or a bound above it, when it is known.
+    number of items of a user, or a bound above it, when it is known. With ``sparse`` the neighbours come first for
+    every user, as suits a table of few near pairs.
     """
     extra = [c for c in owned.columns if c not in ("userId", "leader", "grp")]
     mine = owned.select("userId", F.col("leader").alias("j"), *[F.col(c).alias(f"neighbor_{c}") for c in extra])
     rows = targets.select(*ROW, F.col("leader").alias("i"))
     out = [*ROW, "i", "j", "cosine_sim", *[f"neighbor_{c}" for c in extra]]
+    alike = targets.select(*ROW, "own_rating", "own_n", F.col("leader").alias("i"), F.col("leader").alias("j")).join(mine, ["userId", "j"])
+    alike = alike.withColumn("cosine_sim", F.lit(1.0))
+    if "itemId" in extra:
+        alike = alike.where(F.col("neighbor_itemId") != F.col("itemId"))
+    else:
+        alike = _without_own(alike, "neighbor_")
+    alike = alike.select(*out)
+    if sparse:
+        near = rows.join(similarities, "i").join(mine, ["userId", "j"])
+        return near.select(*out).unionByName(alike)
     if max_items is None:
         max_items = largest_user(owned)
     if max_items <= heavy_items:
-        return rows.join(mine, "userId").join(similarities, ["i", "j"]).select(*out)
+        return rows.join(mine, "userId").join(similarities, ["i", "j"]).select(*out).unionByName(alike)
     heavy = owned.groupBy("userId").count().where(F.col("count") > heavy_items).select("userId")
     few = rows.join(heavy, "userId", "left_anti").join(mine, "userId").join(similarities, ["i", "j"])
     many = rows.join(heavy, "userId", "left_semi").join(similarities, "i").join(mine, ["userId", "j"])
-    return few.select(*out).unionByName(many.select(*out))
+    return few.select(*out).unionByName(many.select(*out)).unionByName(alike)
+
+
+def _without_own(rows: DataFrame, prefix: str) -> DataFrame:
+    """Take the own rating of the target out of what its user rated alike; rows with nothing left go."""
+    left = rows.withColumns(
+        {
+            f"{prefix}rating_sum": F.col(f"{prefix}rating_sum") - F.col("own_rating"),
+            f"{prefix}n_owned": F.col(f"{prefix}n_owned") - F.col("own_n"),
+        }
+    )
+    return left.where(F.col(f"{prefix}n_owned") > 0)
 
 
 def weighted_rating_sums(neighbors: DataFrame) -> DataFrame:
@@ -99,7 +128,8 @@ def all_neighbor_sums(
     """
     within = ["grp"] if "grp" in weights.columns else []
     most = largest_user(weights)
-    if most <= heavy_items:
+    negative = (weights.agg(F.min("weight")).first()[0] or 0.0) < 0
+    if most <= heavy_items or negative:
         return _sums_by_item_pair(targets, weights, owned, within, block_items, most)
     # Item pairs of a user number its items squared; the other way its items times their raters.
     heavy = stage(
@@ -125,9 +155,16 @@ def all_neighbor_sums(
 def _sums_by_item_pair(
     targets: DataFrame, weights: DataFrame, owned: DataFrame, within: list[str], block_items: int, most: int | None
 ) -> DataFrame:
-    cosines = pair_cosines(weights, within, block_items, most)
-    rows = targets.select(*ROW, *within, F.col("leader").alias("target"))
-    wanted = rows.join(owned, ["userId", *within]).select(
+    # What two copies share of these weights: 1 when the weights are those of all users.
+    alike = weights.groupBy("leader").agg(F.sum(F.col("weight") * F.col("weight")).alias("cosine_sim"))
+    cosines = pair_cosines(weights, within, block_items, most).unionByName(
+        alike.select(F.col("leader").alias("i"), F.col("leader").alias("j"), "cosine_sim")
+    )
+    rows = targets.select(*ROW, *within, "own_rating", "own_n", F.col("leader").alias("target"))
+    met = rows.join(owned, ["userId", *within])
+    other = met.where(F.col("target") != F.col("leader")).drop("own_rating", "own_n")
+    same = _without_own(met.where(F.col("target") == F.col("leader")), "").drop("own_rating", "own_n")
+    wanted = other.unionByName(same).select(
         *ROW,
         F.least("target", "leader").alias("i"),
         F.greatest("target", "leader").alias("j"),
@@ -145,17 +182,11 @@ def _sums_by_user_pair(
     No join meets a heavy user with all its own items: the joins run on the item, between one side
     that is heavy and one that is not restricted, and on pairs of users.
     """
-    negative = F.raise_error(F.lit("negative ratings need heavy_items above the largest user"))
-    entries = weights.select(
-        F.col("userId").alias("other"),
-        F.col("leader").alias("via"),
-        *within,
-        F.when(F.col("weight") < 0, negative).otherwise(F.col("weight")).alias("weight"),
-    )
+    entries = weights.select(F.col("userId").alias("other"), F.col("leader").alias("via"), *within, "weight")
     heavy_entries = entries.join(heavy.select(F.col("userId").alias("other")), "other", "left_semi")
     testers = targets.select("userId").distinct()
     mine = owned.join(testers, "userId", "left_semi").withColumnRenamed("leader", "via")
-    rows = targets.select(*ROW, *within, F.col("leader").alias("via"))
+    rows = targets.select(*ROW, *within, "own_rating", "own_n", F.col("leader").alias("via"))
 
     def either_heavy(df: DataFrame) -> DataFrame:
         by_test_user = df.join(heavy, "userId", "left_semi").join(entries, ["via", *within])
@@ -175,7 +206,7 @@ def _sums_by_user_pair(
         .join(user_pairs, ["userId", "other", *within])
         .groupBy(*ROW)
         .agg(
-            F.sum(F.col("weight") * F.col("rating_mass")).alias("weighted_rating_sum"),
-            F.sum(F.col("weight") * F.col("mass")).alias("similarity_sum"),
+            F.sum(F.col("weight") * (F.col("rating_mass") - F.col("own_rating") * F.col("weight"))).alias("weighted_rating_sum"),
+            F.sum(F.col("weight") * (F.col("mass") - F.col("own_n") * F.col("weight"))).alias("similarity_sum"),
         )
     )

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratingloom.operators.items import item_facts, leader_weights, with_facts
+from ratingloom.operators.items import expand_pairs, item_facts, leader_weights, with_facts
 from ratingloom.operators.pairing import BLOCK_ITEMS, corated, largest_user
+from ratingloom.staging import stage
 
 # Room for rounding in the bounds below; survivors are decided on exact dot products.
 SLACK = 1e-9
@@ -23,9 +24,10 @@ def pair_cosines(
 
 
 def item_cosine(train: DataFrame) -> DataFrame:
-    """Cosine of all pairs of distinct item vectors that have a common rater, each pair once."""
-    weights = leader_weights(with_facts(train, item_facts(train)))
-    return pair_cosines(weights, max_items=largest_user(train))
+    """Cosine of all pairs of items that have a common rater, each pair once; copies have cosine 1."""
+    facts = stage(item_facts(train), "facts")
+    weights = leader_weights(with_facts(train, facts))
+    return expand_pairs(pair_cosines(weights, max_items=largest_user(train)), facts, cosine_sim=F.lit(1.0))
 
 
 def within_group_pairs(train: DataFrame, groups: DataFrame) -> DataFrame:
@@ -34,17 +36,20 @@ def within_group_pairs(train: DataFrame, groups: DataFrame) -> DataFrame:
     A pair without a common rater has similarity zero and weighs nothing in any prediction, so the
     full grid of a group is never formed.
     """
-    rated = leader_weights(with_facts(train, item_facts(train, groups)))
-    met = corated(rated, [], within=["grp"], max_items=largest_user(train))
-    return met.groupBy("grp", F.col("a_leader").alias("i"), F.col("b_leader").alias("j")).agg(
+    facts = stage(item_facts(train, groups), "facts")
+    met = corated(leader_weights(with_facts(train, facts)), [], within=["grp"], max_items=largest_user(train))
+    pairs = met.groupBy("grp", F.col("a_leader").alias("i"), F.col("b_leader").alias("j")).agg(
         F.count("*").alias("n_common")
     )
+    return expand_pairs(pairs, facts, grp=F.col("grp"), n_common=F.col("n_raters"))
 
 
 def within_group_cosine(train: DataFrame, groups: DataFrame) -> DataFrame:
     """``i, j, cosine_sim`` of pairs inside a group that have a common rater."""
-    weights = leader_weights(with_facts(train, item_facts(train, groups)))
-    return pair_cosines(weights, within=["grp"], max_items=largest_user(train))
+    facts = stage(item_facts(train, groups), "facts")
+    weights = leader_weights(with_facts(train, facts))
+    pairs = pair_cosines(weights, within=["grp"], max_items=largest_user(train))
+    return expand_pairs(pairs, facts, cosine_sim=F.lit(1.0))
 
 
 def symmetric_similarities(pairs: DataFrame) -> DataFrame:

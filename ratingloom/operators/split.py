@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Multipliers and modulus of the split rule.
-USER_FACTOR = 7919
-ITEM_FACTOR = 104729
-SPLIT_PRIME = 99991
+from ratingloom.functions.hashing import mixed
 
 
 def is_test(seed: int = 42, tenths: int = 1) -> Column:
-    """True for about ``tenths`` out of ten rows; depends on the row's key and the seed only."""
-    prime = F.lit(SPLIT_PRIME)
-    # Reducing the ids first gives the same remainder and cannot overflow.
-    spread = F.pmod(F.col("userId"), prime) * USER_FACTOR + F.pmod(F.col("itemId"), prime) * ITEM_FACTOR
-    return F.pmod(spread + seed, prime) % 10 < tenths
+    """True for about ``tenths`` out of ten rows; depends on the row's key and the seed only.
+
+    The user is mixed with the seed and the item with the result, so neither neighbouring ids nor neighbouring seeds go together.
+    """
+    user = F.transform(F.array("userId"), lambda u: mixed(u, 2 * seed))
+    both = F.transform(user, lambda h: mixed(h + F.pmod("itemId", F.lit(1 << 31)), 2 * seed + 1))
+    return F.get(both, F.lit(0)) % 10 < tenths
 
 
 def hash_split(ratings: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:

@@ -1,8 +1,9 @@
 """Recommenders: from a train and a test table to scored test rows.
 
-``train`` and ``test`` hold ``userId, itemId, rating`` with one row per user and item and no pair
-in both, as a split of deduplicated ratings gives. Each function returns
-``userId, itemId, actual_rating, pred_rating`` for the test rows that have a similar rated item.
+``train`` and ``test`` hold ``userId, itemId, rating`` with one row per user and item each. Each function returns
+``userId, itemId, actual_rating, pred_rating`` for the test rows that have a similar rated item. Where a test pair is also
+in ``train``, the rating there does not count for its own prediction. What a run writes lies in ``space``, whose owner
+removes it; without one it lies in a folder of its own.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from ratingloom.functions.scores import default_cluster_count, distance_to_cosin
 from ratingloom.operators.clustering import kmeans_item_clusters
 from ratingloom.operators.items import item_facts, leader_weights, owned_ratings, with_facts
 from ratingloom.operators.lsh import lsh_similarity_join
-from ratingloom.operators.pairing import BLOCK_ITEMS, largest_user
+from ratingloom.operators.pairing import BLOCK_ITEMS
 from ratingloom.operators.prediction import (
     HEAVY_ITEMS,
     all_neighbor_sums,
@@ -24,13 +25,15 @@ from ratingloom.operators.prediction import (
     weighted_rating_sums,
 )
 from ratingloom.operators.similarity import symmetric_similarities
-from ratingloom.staging import stage
+from ratingloom.staging import Workspace, stage
 
 
-def _prepare(train: DataFrame, groups: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _prepare(
+    train: DataFrame, groups: DataFrame | None = None, space: Workspace | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Item facts and the train rows with them, written once because every later step reads them."""
-    facts = stage(item_facts(train, groups), "facts")
-    return facts, stage(with_facts(train, facts), "rated")
+    facts = stage(item_facts(train, groups), "facts", space)
+    return facts, stage(with_facts(train, facts), "rated", space)
 
 
 def group_cf(
@@ -39,20 +42,25 @@ def group_cf(
     groups: DataFrame | None = None,
     heavy_items: int = HEAVY_ITEMS,
     block_items: int = BLOCK_ITEMS,
+    space: Workspace | None = None,
 ) -> DataFrame:
     """Neighbours are all co-rated items of the same group: ``groups`` has ``itemId, grp``."""
-    facts, rated = _prepare(train, groups)
+    facts, rated = _prepare(train, groups, space)
     sums = all_neighbor_sums(
-        targets_of(test, facts), leader_weights(rated), owned_ratings(rated), heavy_items, block_items
+        targets_of(test, facts, rated), leader_weights(rated), owned_ratings(rated), heavy_items, block_items
     )
     return predict_ratings(sums)
 
 
 def exact_cf(
-    train: DataFrame, test: DataFrame, heavy_items: int = HEAVY_ITEMS, block_items: int = BLOCK_ITEMS
+    train: DataFrame,
+    test: DataFrame,
+    heavy_items: int = HEAVY_ITEMS,
+    block_items: int = BLOCK_ITEMS,
+    space: Workspace | None = None,
 ) -> DataFrame:
     """Neighbours are all co-rated items."""
-    return group_cf(train, test, None, heavy_items, block_items)
+    return group_cf(train, test, None, heavy_items, block_items, space)
 
 
 def item_clusters(train: DataFrame, k: int | None = None, seed: int = 42, max_iter: int = 20) -> DataFrame:
@@ -74,15 +82,16 @@ def cluster_cf(
     max_iter: int = 20,
     heavy_items: int = HEAVY_ITEMS,
     block_items: int = BLOCK_ITEMS,
+    space: Workspace | None = None,
 ) -> DataFrame:
     """Neighbours are the co-rated items of the same KMeans cluster."""
-    facts, rated = _prepare(train)
-    clusters = kmeans_item_clusters(leader_weights(rated), k or cluster_count(facts), seed, max_iter)
+    facts, rated = _prepare(train, None, space)
+    clusters = kmeans_item_clusters(leader_weights(rated), k or cluster_count(facts), seed, max_iter, space)
     # Copies have one vector and so one cluster: the leaders found without groups stay valid.
     groups = clusters.withColumnRenamed("cluster", "grp")
     facts, rated = facts.join(groups, "leader"), rated.join(groups, "leader")
     sums = all_neighbor_sums(
-        targets_of(test, facts), leader_weights(rated), owned_ratings(rated), heavy_items, block_items
+        targets_of(test, facts, rated), leader_weights(rated), owned_ratings(rated), heavy_items, block_items
     )
     return predict_ratings(sums)
 
@@ -94,17 +103,17 @@ def lsh_cf(
     num_hash_tables: int = 8,
     max_distance: float = 1.0,
     seed: int = 42,
-    heavy_items: int = HEAVY_ITEMS,
     block_items: int = BLOCK_ITEMS,
+    space: Workspace | None = None,
 ) -> DataFrame:
     """Neighbours are the items closer than ``max_distance`` that the hashing finds."""
-    facts, rated = _prepare(train)
+    facts, rated = _prepare(train, None, space)
     near = lsh_similarity_join(
         leader_weights(rated), max_distance, bucket_length, num_hash_tables, seed, block_items, block_items
     )
     cosines = near.select("i", "j", distance_to_cosine(F.col("distance")).alias("cosine_sim"))
-    similarities = symmetric_similarities(stage(cosines, "similarities"))
+    similarities = symmetric_similarities(stage(cosines, "similarities", space))
     neighbors = neighbor_ratings(
-        targets_of(test, facts), similarities, owned_ratings(rated), heavy_items, largest_user(rated)
+        targets_of(test, facts, rated), similarities, owned_ratings(rated), sparse=True
     )
     return predict_ratings(weighted_rating_sums(neighbors))

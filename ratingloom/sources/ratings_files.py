@@ -29,11 +29,18 @@ def canonical_ratings(
 
 
 def read_ratings_csv(spark: SparkSession, path: str, dedupe: bool = True) -> DataFrame:
-    """Header CSV with a fixed schema: no inference pass, and the timestamp is never parsed."""
-    # Positional CSV columns may follow in any order, so the reader is told the file's own.
-    types = [T.LongType(), T.LongType(), T.DoubleType(), T.LongType()]
-    schema = T.StructType([T.StructField(name, kind) for name, kind in zip(RATINGS_CSV_COLUMNS, types)])
-    return canonical_ratings(spark.read.csv(path, header=True, schema=schema), item="movieId", dedupe=dedupe)
+    """Header CSV, columns by name in any order and no inference pass.
+
+    A header that lacks a column, files whose headers differ, and lines that do not fit are errors.
+    """
+    kinds = dict(zip(RATINGS_CSV_COLUMNS, [T.LongType(), T.LongType(), T.DoubleType(), T.LongType()]))
+    header = spark.read.csv(path, header=True).columns
+    lacking = [name for name in RATINGS_CSV_COLUMNS[:3] if name not in header]
+    if lacking:
+        raise ValueError(f"{path} has no column {', '.join(lacking)}")
+    schema = T.StructType([T.StructField(name, kinds.get(name, T.StringType())) for name in header])
+    rows = spark.read.csv(path, header=True, schema=schema, enforceSchema=False, mode="FAILFAST")
+    return canonical_ratings(rows, item="movieId", dedupe=dedupe)
 
 
 def dataset_path(name: str, base_dir: str = "./data") -> str:
@@ -48,8 +55,8 @@ def load_ratings(spark: SparkSession, name: str, base_dir: str = "./data") -> Da
 
 
 def read_ratings_dat(spark: SparkSession, path: str) -> DataFrame:
-    """Raw ``user::item::rating::time`` lines."""
-    return spark.read.csv(path, sep="::", schema=RAW_RATINGS)
+    """Raw ``user::item::rating::time`` lines; a line that does not fit is an error."""
+    return spark.read.csv(path, sep="::", schema=RAW_RATINGS, mode="FAILFAST")
 
 
 def csv_columns(raw: DataFrame) -> DataFrame:

@@ -38,7 +38,8 @@ def weights_of(df):
 
 def test_cosines_of_the_five_items(spark):
     found = {(r["i"], r["j"]): r["cosine_sim"] for r in item_cosine(frame(spark, FIVE)).collect()}
-    assert found == {(0, 2): pytest.approx(15 / (5 * math.sqrt(26)))}
+    near = pytest.approx(15 / (5 * math.sqrt(26)))
+    assert found == {(0, 1): pytest.approx(1.0), (0, 2): near, (1, 2): near}
 
 
 def test_distance_of_the_five_items_and_strict_threshold(spark):

@@ -27,4 +27,4 @@ def test_query_equals_sql(spark, name):
 def test_entry_scores_the_known_number_of_rows(spark):
     found = entry.entry(spark)
     assert found.columns == ["userId", "itemId", "actual_rating", "pred_rating"]
-    assert found.count() == 490
+    assert found.count() == 536

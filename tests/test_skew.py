@@ -49,7 +49,7 @@ def test_group_predictions(skewed, limits):
     assert scored_map(group_cf(train_df, test_df, groups, **limits)) == want
 
 
-@pytest.mark.parametrize("limits", [{}, {"heavy_items": 6, "block_items": 4}])
+@pytest.mark.parametrize("limits", [{}, {"block_items": 4}])
 def test_lsh_predictions(skewed, limits):
     train, test, train_df, test_df = skewed
     # 60 tables: a pair this close misses every bucket with a chance below 1e-12.
@@ -61,7 +61,7 @@ def weights_of(df):
     return leader_weights(with_facts(df, item_facts(df)))
 
 
-def test_copies_share_a_leader_and_never_pair(skewed):
+def test_copies_share_a_leader(skewed):
     train, _, train_df, _ = skewed
     facts = {r["itemId"]: r["leader"] for r in item_facts(train_df).collect()}
     vectors = by_item(train)
@@ -109,9 +109,32 @@ def test_lsh_pairs_are_near_and_share_a_bucket(skewed):
         assert r["distance"] == pytest.approx((2 - 2 * cosine(vectors[r["i"]], vectors[r["j"]])) ** 0.5)
 
 
-def test_negative_ratings_stop_the_user_pair_route(spark):
-    rows = [(u, i, float(u + i - 4)) for u in range(6) for i in range(6) if (u, i) != (0, 0)]
+LIMITS = [{}, {"heavy_items": 1, "block_items": 2}]
+
+
+@pytest.mark.parametrize("limits", LIMITS)
+def test_negative_ratings_at_every_size(spark, limits):
+    rows = [(u, i, float((u * 5 + i * 3) % 7 - 3)) for u in range(6) for i in range(6) if (u, i) != (0, 0)]
+    test = [(0, 0, 1.0), (3, 4, 2.0)]
+    found = exact_cf(spark.createDataFrame(rows, RATINGS), spark.createDataFrame(test, RATINGS), **limits)
+    assert scored_map(found) == predictions(rows, test, lambda i, j, s: True)
+
+
+@pytest.mark.parametrize("limits", LIMITS)
+def test_own_ratings_and_copies_at_every_size(skewed, spark, limits):
+    train, test, train_df, _ = skewed
+    both = test + train[::9] + [(2, 100, 1.0), (2, 129, 4.0)]
+    both = [(u, i, r) for (u, i), r in {(u, i): r for u, i, r in both}.items()]
+    found = exact_cf(train_df, spark.createDataFrame(both, RATINGS), **limits)
+    assert scored_map(found) == predictions(train, both)
+
+
+def test_far_pairs_of_negative_ratings_are_found(spark):
+    rows = [(u, i, float((u * 5 + i * 3) % 7 - 3)) for u in range(6) for i in range(6)]
+    vectors = by_item(rows)
+    want = {(i, j) for i in vectors for j in vectors if i < j and (2 - 2 * cosine(vectors[i], vectors[j])) ** 0.5 < 1.6}
     train = spark.createDataFrame(rows, RATINGS)
-    test = spark.createDataFrame([(0, 0, 1.0)], RATINGS)
-    with pytest.raises(Exception, match="negative ratings"):
-        exact_cf(train, test, heavy_items=1, block_items=1).collect()
+    facts = item_facts(train)
+    found = lsh_similarity_join(leader_weights(with_facts(train, facts)), 1.6, num_hash_tables=60, facts=facts)
+    pairs = {(r["i"], r["j"]): r["distance"] for r in found.collect()}
+    assert set(pairs) <= want and any(d > 2**0.5 for d in pairs.values())

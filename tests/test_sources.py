@@ -5,8 +5,9 @@ from pyspark.errors import AnalysisException
 
 import __spark_entry__ as entry
 from ratingloom.plans.experiment import run_experiment
+from ratingloom.operators.split import hash_split
 from ratingloom.schema import RATINGS, SUMMARY
-from ratingloom.sources.ratings_files import convert_all, convert_dat, dataset_path, load_ratings, read_ratings_dat
+from ratingloom.sources.ratings_files import convert_all, convert_dat, dataset_path, load_ratings, read_ratings_csv, read_ratings_dat
 from ratingloom.sources.summaries import append_summary, read_summary, summary_row
 
 TWO_LINES = "1::1193::5::978300760\n1::661::3::978302109\n"
@@ -62,8 +63,32 @@ def test_experiments_append_their_rows(spark, tmp_path):
     assert rows["Cosine (approximated with LSH)"]["Similarity Threshold"] == 1.25
     assert rows["Cosine (within cluster)"]["Clustering"] == "KMeans (k=3)"
     for row in rows.values():
-        assert (row["Train Size"], row["Test Size"]) == (1300, 144)
+        assert (row["Train Size"], row["Test Size"]) == (1314, 130)
         assert 0 < row["Scored Rows"] <= 144 and row["Execution Time (s)"] > 0 and row["RMSE"] >= row["MAE"]
     assert read_summary(spark, out).schema.names == SUMMARY.names
     with pytest.raises(ValueError, match="unknown method"):
         run_experiment(spark, ratings, "other")
+
+
+def test_columns_are_read_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("movieId,timestamp,userId,rating\n7,1,2,4.5\n")
+    assert [tuple(r) for r in read_ratings_csv(spark, str(tmp_path / "a.csv")).collect()] == [(2, 7, 4.5)]
+    (tmp_path / "b.csv").write_text("userId,rating\n2,4.5\n")
+    with pytest.raises(ValueError, match="movieId"):
+        read_ratings_csv(spark, str(tmp_path / "b.csv"))
+
+
+@pytest.mark.parametrize("line", ["abc::2::4::100", "1::7"])
+def test_lines_that_do_not_fit_are_errors(spark, tmp_path, line):
+    (tmp_path / "r.dat").write_text(f"1::2::3::4\n{line}\n")
+    with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
+        convert_dat(spark, str(tmp_path / "r.dat"), str(tmp_path / "out"))
+
+
+def test_split_seeds_differ(spark):
+    rows = spark.range(40_000).selectExpr("id % 400 AS userId", "id DIV 400 AS itemId", "1.0D AS rating")
+    held = [{(r["userId"], r["itemId"]) for r in hash_split(rows, seed)[1].collect()} for seed in (42, 52)]
+    assert all(3_700 < len(h) < 4_300 for h in held)
+    assert len(held[0] & held[1]) < 500
+    users = [sum(1 for u, i in held[0] if i == item) for item in range(20)]
+    assert all(15 < n < 70 for n in users)
