@@ -4,8 +4,9 @@ Equal vectors are one node, named by their smallest id, with the smallest ids of
 one component so that all have the same norm; then nearness by inner product is nearness in space. Lists start from
 chunks of rows ordered by random projections. In each round every node brings its neighbours and reverse neighbours together, each with its vector in
 8 bits and the worst score of its list, and sends out the pairs that improve a list; only pairs with a new entry are tried. Rounds end when few lists
-change. Queries walk the graph from their own node, or from fixed entry nodes, always on from the best nodes not yet
-visited, and the best nodes found are scored exactly on the original vectors.
+change. Queries walk the graph from the node of their vector, or, when it is not in the table, from entry nodes whose number grows
+with the root of the nodes, always on from the best nodes not yet visited until none is left in the beam. The best nodes
+found are scored exactly on the original vectors.
 
 Rows whose vector is null, zero, holds null or non-finite components, or is not of the commonest length take no part, nor do rows
 without id. Of rows with one id the smallest vector counts. Ties go to the smaller id. With no more nodes than a list
@@ -16,17 +17,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratingloom.staging import Workspace
+from ratingloom.staging import Workspace, remove_path
 
 LIST, SAMPLED, ROUNDS, ENOUGH = 40, 16, 10, 0.01
 CHUNK, TABLES = 96, 3
-BEAM, STEP, HOPS, ENTRIES = 96, 16, 6, 32
+BEAM, STEP, ENTRIES = 96, 16, 32
 EDGES = "node long, neighbour long, score float, fresh boolean"
 
 
@@ -223,14 +225,18 @@ def build(vectors: DataFrame, space: Workspace, wanted: int = 20) -> Index:
 
 
 def search(index: Index, queries: DataFrame, k: int = 20, beam: int = BEAM) -> DataFrame:
-    """The ``k`` nearest found for rows of query_id and v: query_id, rank, vec_id, score; a query does not find its own id."""
-    space = index.space
+    """The ``k`` nearest found for rows of query_id and v: query_id, rank, vec_id, score; a query does not find its own id.
+
+    Queries of one vector share a walk, named by their smallest id. A walk ends when every node of its beam has been visited.
+    """
+    space, spark = index.space, queries.sparkSession
     queries = space.stage(queries.select("query_id", "v"), "queries")
     nodes = index.nodes.select("node", "v", "members")
-    own = nodes.select(F.explode("members").alias("query_id"), "node").join(queries.select("query_id"), "query_id").select("query_id", "node")
-    entries = nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(ENTRIES)
-    strangers = queries.join(own, "query_id", "left_anti").select("query_id")
-    first = own.unionByName(strangers.join(entries.agg(F.collect_list("node").alias("e")), F.lit(True)).select("query_id", F.explode("e").alias("node")))
+    walks = space.stage(queries.groupBy("v").agg(F.min("query_id").alias("walk")), "walks")
+    own = walks.join(nodes.select("v", "node"), "v").select("walk", "node")
+    entries = nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(max(ENTRIES, isqrt(nodes.count())))
+    strangers = walks.join(nodes.select("v"), "v", "left_anti").select("walk")
+    first = own.unionByName(strangers.join(entries.agg(F.collect_list("node").alias("e")), F.lit(True)).select("walk", F.explode("e").alias("node")))
 
     @F.arrow_udf("double")
     def inner(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -243,24 +249,32 @@ def search(index: Index, queries: DataFrame, k: int = 20, beam: int = BEAM) -> D
         return pa.array((vectors * short[:, :width]).sum(1) * scale.to_numpy().astype(np.float64))
 
     def scored(pairs: DataFrame) -> DataFrame:
-        """Pairs of query_id and node with their score on 8-bit vectors, in units of the longest vector."""
+        """Pairs of walk and node with their score on 8-bit vectors, in units of the longest vector."""
         near = pairs.join(index.nodes.select("node", "q", "scale"), "node")
-        return near.join(queries, "query_id").select("query_id", "node", rough("v", "q", "scale").alias("score"))
-
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")
-    pool = space.stage(scored(first.distinct()).withColumn("visited", F.lit(False)), "pool")
-    for hop in range(HOPS + 1):
-        step = ENTRIES if hop == 0 else STEP
-        ahead = Window.partitionBy("query_id", "visited").orderBy(F.desc("score"), "node")
-        pool = pool.withColumn("r", F.row_number().over(ahead))
-        going = pool.where(f"NOT visited AND r <= {step}")
-        found = going.join(index.graph, "node").select("query_id", F.explode("neighbours").alias("node")).distinct()
-        found = found.join(pool.select("query_id", "node"), ["query_id", "node"], "left_anti")
-        seen = pool.select("query_id", "node", "score", (F.col("visited") | (F.col("r") <= step)).alias("visited"))
-        both = seen.unionByName(scored(found).withColumn("visited", F.lit(False)))
-        pool = space.stage(both.withColumn("r", F.row_number().over(nearest)).where(f"r <= {beam + 2} OR visited").drop("r"), "pool")
-    results = pool.withColumn("r", F.row_number().over(nearest)).where(f"r <= {beam + 2}").select("query_id", "node")
-    exact = results.join(nodes.withColumnRenamed("v", "w"), "node").join(queries, "query_id").withColumn("score", inner("v", "w"))
-    rows = exact.select("query_id", "score", F.explode("members").alias("vec_id"))
-    rows = rows.where("vec_id <> query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return rows.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return near.join(walks, "walk").select("walk", "node", rough("v", "q", "scale").alias("score"))
+
+    nearest = Window.partitionBy("walk").orderBy(F.desc("score"), "node")
+    ahead = Window.partitionBy("walk", "visited").orderBy(F.desc("score"), "node")
+    path = space.write(scored(first.distinct()).withColumn("visited", F.lit(False)).withColumn("open", F.lit(True)), "pool")
+    pool, step = spark.read.parquet(path), ENTRIES
+    while not pool.where("open").isEmpty():
+        now = pool.where("open").withColumn("r", F.row_number().over(ahead))
+        going = now.where(f"NOT visited AND r <= {step}")
+        found = going.join(index.graph, "node").select("walk", F.explode("neighbours").alias("node")).distinct()
+        found = found.join(now.select("walk", "node"), ["walk", "node"], "left_anti")
+        seen = now.select("walk", "node", "score", (F.col("visited") | (F.col("r") <= step)).alias("visited"))
+        both = seen.unionByName(scored(found).withColumn("visited", F.lit(False))).withColumn("r", F.row_number().over(nearest))
+        both = both.where(f"r <= {beam + 2} OR visited").withColumn("open", F.max(~F.col("visited")).over(Window.partitionBy("walk")))
+        moved = both.where(f"open OR r <= {beam + 2}").drop("r").unionByName(pool.where("NOT open"))
+        old, path = path, space.write(moved, "pool")
+        pool, step = spark.read.parquet(path), STEP
+        remove_path(spark, old)
+    exact = pool.where("visited").withColumn("r", F.row_number().over(nearest)).where(f"r <= {beam + 2}").select("walk", "node")
+    exact = exact.join(nodes.withColumnRenamed("v", "w"), "node").join(walks, "walk").withColumn("score", inner("v", "w"))
+    rows = exact.select("walk", "score", F.explode("members").alias("vec_id"))
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("walk").orderBy(F.desc("score"), "vec_id"))).where(f"r <= {k + 1}")
+    lists = rows.groupBy("walk").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("all"))  # k + 1 entries
+    known = queries.join(walks.join(lists, "walk").select("v", "all"), "v").select("query_id", "all")
+    others = F.slice(F.filter("all", lambda e: e["vec_id"] != F.col("query_id")), 1, k)
+    out = known.select("query_id", F.posexplode(others).alias("at", "e"))
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), "e.vec_id", "e.score")
