@@ -1,14 +1,14 @@
 """Find and redact personal data: overlapping candidates, boosted trees, calibrated thresholds.
 
 Generators propose spans with high recall. Spans of the four base kinds that pass their check always count. A small
-gradient-boosted model over format and context decides on the rest: its features take few values, so a bounded sample of documents is
+gradient-boosted model over format and context decides on the rest: its features take few values, so the candidates of all documents are
 reduced to a table of cells by one Spark aggregation, the trees are fitted to the cells, and they become one Spark
 expression. No labels of spans exist; the cells are labelled by rules (``_likely``) that see the value, while the trees see
 only counted format and surroundings. A kind's threshold is the lowest score from which held-out cells are right in
-``precision`` of all cases.
+``precision`` of all cases. A kind without such a score, be it for want of held-out cells, is decided by its rule.
 
 All work is inside a row, in characters of the whole text. Null text is empty and has no spans; repeated rows get equal
-results; other columns are kept. On an empty table the model is empty and only base spans count.
+results; other columns are kept.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from ratingloom.llm.arrays import let, matches
 
-SAMPLE = 20_000
 LOCAL = "A-Za-z0-9._%+-"
 BASE_KINDS = ["email", "ip", "card", "phone"]
 KINDS = [*BASE_KINDS, "secret", "number", "email_at"]
@@ -144,8 +143,10 @@ class Model:
         return reduce(lambda a, b: a + b, scores, F.lit(0.0))
 
     def accepts(self, c: Column) -> Column:
+        if not self.thresholds:
+            return c["likely"]
         least = F.element_at(F.create_map(*[F.lit(x) for kind, t in sorted(self.thresholds.items()) for x in (kind, t)]), c["kind"])
-        return F.coalesce(self.column(c) >= least, F.lit(False))
+        return F.coalesce(self.column(c) >= least, c["likely"])
 
 
 def boost(cells: dict[str, np.ndarray], y: np.ndarray, w: np.ndarray, rounds: int = 16, rate: float = 0.5) -> tuple[Tree, ...]:
@@ -182,11 +183,9 @@ def _scores(trees: tuple[Tree, ...], cells: dict[str, np.ndarray]) -> np.ndarray
     return total
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, precision: float = 0.98, text: str = "text") -> Model:
-    """Fit the trees to at most ``sample`` documents, chosen by a hash of their id."""
-    ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(ids), "doc_id", "left_semi")
-    found = rows.select("doc_id", F.explode(candidates(F.col("text"))).alias("c"))
+def learn(docs: DataFrame, precision: float = 0.98, text: str = "text") -> Model:
+    """Fit the trees and thresholds to the candidates of all documents; a third of the ids, chosen by a hash, is held out."""
+    found = docs.select("doc_id", F.explode(candidates(F.col(text))).alias("c"))
     part = (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0).alias("held_out")
     cells = found.groupBy(*[f"c.{f}" for f in FEATURES], "c.likely", part).count().collect()  # a cell per combination of small codes
     if not cells:
@@ -212,7 +211,7 @@ def spans(text: Column, model: Model) -> Column:
 
     def kept(found: Column) -> Column:
         base = lambda c: (c["kind"] < len(BASE_KINDS)) & (c["valid"] == 1)
-        chosen = F.filter(found, lambda c: base(c) | model.accepts(c) if model.thresholds else base(c))
+        chosen = F.filter(found, lambda c: base(c) | model.accepts(c))
         made = F.transform(
             chosen, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), base(c).alias("base"))
         )
