@@ -1,0 +1,34 @@
+"""Near duplicates of the pipeline on repeated ids."""
+
+from __future__ import annotations
+
+from corpus_pipeline import near_duplicates
+
+A = " ".join(f"alpha{n}" for n in range(40))
+B = " ".join(f"beta{n}" for n in range(40))
+C = " ".join(f"gamma{n}" for n in range(40))
+
+
+def kept(spark, rows: list[tuple[int | None, str | None]]) -> list[tuple[int | None, str | None]]:
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return sorted(((r["doc_id"], r["text"]) for r in near_duplicates(spark, docs, "").collect()), key=str)
+
+
+def expected(rows: list[tuple[int | None, str | None]]) -> list[tuple[int | None, str | None]]:
+    return sorted(rows, key=str)
+
+
+def test_an_id_with_two_texts_leads_one_component_and_follows_in_another(spark):
+    rows = [(5, A), (5, B), (3, B + " end"), (7, A + " end")]
+    assert kept(spark, rows) == expected([(5, A), (3, B + " end")])
+
+
+def test_one_row_of_each_component_stays(spark):
+    both = kept(spark, [(5, A), (5, A + " end"), (7, A + " more")])
+    assert len(both) == 1 and both[0] in [(5, A), (5, A + " end")]
+    assert kept(spark, [(5, A), (5, B), (5, A), (8, C)]) == expected([(5, A), (5, B), (8, C)])
+
+
+def test_rows_without_words_or_id(spark):
+    rows = [(1, ""), (1, A), (2, None), (4, ""), (None, A), (None, A)]
+    assert kept(spark, rows) == expected(rows)
