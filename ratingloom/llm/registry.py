@@ -3,9 +3,33 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from ratingloom.llm import q_archives, q_bpe, q_jaccard, q_languages, q_licences, q_neighbours, q_packing, q_pii, q_quality, q_substrings
+from ratingloom.llm import (
+    q_archives,
+    q_bpe,
+    q_jaccard,
+    q_languages,
+    q_licences,
+    q_middle,
+    q_neighbours,
+    q_packing,
+    q_pii,
+    q_quality,
+    q_substrings,
+)
 
-MODULES = [q_quality, q_bpe, q_neighbours, q_licences, q_jaccard, q_languages, q_packing, q_archives, q_pii, q_substrings]
+MODULES = [
+    q_quality,
+    q_bpe,
+    q_neighbours,
+    q_licences,
+    q_jaccard,
+    q_languages,
+    q_packing,
+    q_archives,
+    q_pii,
+    q_substrings,
+    q_middle,
+]
 
 
 def queries() -> dict:
