@@ -59,42 +59,40 @@ def tokenizer(path: str):
     return per_process(("tokenizer", path), lambda: _load(path))
 
 
-class PieceEncoder:
-    """Encodes batches of texts for a vocabulary with word ends that drops white space."""
+def split_pieces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of pieces, the bytes to hash (lower case except in odd chunks, which stay whole), and which are odd."""
+    kind = _KIND[data]
+    latin = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC5))
+    pair = data[latin].astype(np.int32) << 8 | data[latin + 1]
+    latin = latin[(pair & 0xC0 == 0x80) & ~np.isin(pair, _NOT_SIMPLE)]
+    kind[latin] = kind[latin + 1] = _LETTER
+    plain = kind != _SPACE
+    edge = np.zeros(len(data) + 1, bool)
+    edge[bounds] = True
+    edge[0] = edge[-1] = True
+    edge[1:-1] |= plain[1:] != plain[:-1]
+    chunk = np.flatnonzero(edge)[:-1]
+    odd = kind == _ODD
+    odd[:-1] |= (data[:-1] == 60) & (data[1:] == 124)  # "<|" may begin a special token
+    odd_chunk = np.add.reduceat(odd, chunk, dtype=np.int64) > 0 if len(chunk) else np.zeros(0, bool)
+    spread = np.repeat(odd_chunk, np.diff(np.append(chunk, len(data))))
+    fine = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    edge[1:-1] |= fine & ~spread[1:] & ~spread[:-1]
+    at = np.flatnonzero(edge)
+    starts, ends = at[:-1], at[1:]
+    keep = plain[starts] if len(starts) else np.zeros(0, bool)
+    starts, ends = starts[keep], ends[keep]
+    return starts, ends, np.where(spread, data, _LOWER[data]), spread[starts]
+
+
+class PieceModel:
+    """The vocabulary's ids of single pieces."""
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.hasher = tokenizer(path), SpanHasher()
+        self.tokenizer = tokenizer(path)
         self.model, self.names = self.tokenizer.model, _byte_names()
-        self.key = np.zeros(SLOTS, np.uint64)
-        self.start, self.length = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
-        self.ids, self.used = np.zeros(1 << 20, np.uint16), 0
 
-    def _pieces(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and ends of pieces, the bytes to hash (lower case except in odd chunks, which stay whole), and which are odd."""
-        kind = _KIND[data]
-        latin = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC5))
-        pair = data[latin].astype(np.int32) << 8 | data[latin + 1]
-        latin = latin[(pair & 0xC0 == 0x80) & ~np.isin(pair, _NOT_SIMPLE)]
-        kind[latin] = kind[latin + 1] = _LETTER
-        plain = kind != _SPACE
-        edge = np.zeros(len(data) + 1, bool)
-        edge[bounds] = True
-        edge[0] = edge[-1] = True
-        edge[1:-1] |= plain[1:] != plain[:-1]
-        chunk = np.flatnonzero(edge)[:-1]
-        odd = kind == _ODD
-        odd[:-1] |= (data[:-1] == 60) & (data[1:] == 124)  # "<|" may begin a special token
-        odd_chunk = np.add.reduceat(odd, chunk, dtype=np.int64) > 0 if len(chunk) else np.zeros(0, bool)
-        spread = np.repeat(odd_chunk, np.diff(np.append(chunk, len(data))))
-        fine = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
-        edge[1:-1] |= fine & ~spread[1:] & ~spread[:-1]
-        at = np.flatnonzero(edge)
-        starts, ends = at[:-1], at[1:]
-        keep = plain[starts] if len(starts) else np.zeros(0, bool)
-        starts, ends = starts[keep], ends[keep]
-        return starts, ends, np.where(spread, data, _LOWER[data]), spread[starts]
-
-    def _ids(self, pieces: list[bytes], odd: list[bool]) -> list[list[int]]:
+    def ids(self, pieces: list[bytes], odd: list[bool]) -> list[list[int]]:
         """Letters, a digit or ASCII signs go straight to the vocabulary's model, what is odd through all its rules."""
         strange = iter(self.tokenizer.encode_batch_fast([p.decode() for p, o in zip(pieces, odd, strict=True) if o], add_special_tokens=False))
         split, names = self.model.tokenize, self.names
@@ -105,8 +103,18 @@ class PieceEncoder:
             for p, o in zip(pieces, odd, strict=True)
         ]
 
+
+class PieceEncoder:
+    """Encodes batches of texts for a vocabulary with word ends that drops white space."""
+
+    def __init__(self, path: str) -> None:
+        self.pieces, self.hasher = PieceModel(path), SpanHasher()
+        self.key = np.zeros(SLOTS, np.uint64)
+        self.start, self.length = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+        self.ids, self.used = np.zeros(1 << 20, np.uint16), 0
+
     def _learn(self, slots: np.ndarray, keys: np.ndarray, pieces: list[bytes], odd: list[bool]) -> None:
-        new = self._ids(pieces, odd)
+        new = self.pieces.ids(pieces, odd)
         lengths = np.fromiter(map(len, new), np.int64, len(new))
         flat = np.fromiter((i for ids in new for i in ids), np.uint16, int(lengths.sum()))
         if self.used + len(flat) > 8 * SLOTS:
@@ -122,7 +130,7 @@ class PieceEncoder:
         self.key[:], self.used = 0, 0
 
     def _encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts, ends, folded, odd = self._pieces(data, bounds)
+        starts, ends, folded, odd = split_pieces(data, bounds)
         keys = self.hasher(folded, starts, ends) | np.uint64(1)
         slots = (keys >> np.uint64(64 - 20)).astype(np.int64)
         ids, counts = [], np.zeros(len(keys), np.int64)
@@ -259,8 +267,8 @@ def encode(
 ) -> DataFrame:
     """Encode every text; ``finish`` gets the kept columns of a batch, its ids end to end and each row's offset.
 
-    Rows with texts of up to ``leaf_chars`` characters need no shuffle. Of longer ones the leaves are shuffled twice,
-    keyed by row, and gathered again by row.
+    Rows with texts of up to ``leaf_chars`` characters need no shuffle. Longer ones are known by their digest, which
+    a task that runs again gives again; every different one is encoded once, its leaves shuffled and gathered by digest.
     """
     names = [*keep]
     body = f"body_{uuid.uuid4().hex}"
@@ -305,12 +313,13 @@ def encode(
                 yield from finish(batch.select(names), np.frombuffer(data.tobytes(), np.uint16), offsets // 2)
 
     row = f"row_{uuid.uuid4().hex}"
-    long = long.withColumn(row, F.monotonically_increasing_id())
-    leaves = long.select(F.col(row).alias("row"), body).mapInArrow(split, "row long, a long, b long, leaf string")
+    long = long.withColumn(row, F.sha2(body, 256))
+    texts = long.select(F.col(row).alias("row"), body).dropDuplicates(["row"])
+    leaves = texts.mapInArrow(split, "row string, a long, b long, leaf string")
     leaves = leaves.repartition("row", "a").mapInArrow(
-        leaf, "row long, a long, b long, leaf string, ids array<int>, first array<int>, ends array<int>"
+        leaf, "row string, a long, b long, leaf string, ids array<int>, first array<int>, ends array<int>"
     )
-    ids = leaves.groupBy("row").applyInArrow(gather, "row long, ids binary")
+    ids = leaves.groupBy("row").applyInArrow(gather, "row string, ids binary")
     long = long.drop(body).join(ids.withColumnRenamed("row", row), row).select(*keep, "ids").mapInArrow(gathered, schema)
     return short.mapInArrow(direct, schema).unionByName(long)
 
