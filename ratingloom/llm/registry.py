@@ -6,6 +6,7 @@ import corpus_pipeline
 from ratingloom.llm import (
     q_archives,
     q_bpe,
+    q_counts,
     q_jaccard,
     q_languages,
     q_licences,
@@ -28,6 +29,7 @@ MODULES = [
     q_archives,
     q_pii,
     q_substrings,
+    q_counts,
     q_middle,
 ]
 
