@@ -7,6 +7,7 @@ from ratingloom.llm import (
     q_archives,
     q_bpe,
     q_counts,
+    q_divergence,
     q_jaccard,
     q_languages,
     q_licences,
@@ -30,6 +31,7 @@ MODULES = [
     q_pii,
     q_substrings,
     q_counts,
+    q_divergence,
     q_middle,
 ]
 
