@@ -21,7 +21,9 @@ def is_test(seed: int = 42, tenths: int = 1) -> Column:
 def hash_split(ratings: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """90/10 split by key. Rerunning a lost task or changing the partitioning moves no row."""
     held_out = is_test(seed)
-    return ratings.where(~held_out), ratings.where(held_out)
+    # Rows without a key are on neither side; said openly, the scan can leave them out.
+    keyed = ratings.where(F.col("userId").isNotNull() & F.col("itemId").isNotNull())
+    return keyed.where(~held_out), keyed.where(held_out)
 
 
 def random_split(
