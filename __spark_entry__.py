@@ -153,11 +153,10 @@ def _lsh_item_hashes(train: DataFrame) -> DataFrame:
     return hashes.select("itemId", F.posexplode("hashes").alias("tbl", "bucket"))
 
 
-def _lsh_pairs(train: DataFrame, **limits: int) -> DataFrame:
+def _lsh_pairs(train: DataFrame, distance: float = oracles.DENSE_DISTANCE, bucket: float = oracles.BUCKET,
+               tables: int = oracles.TABLES, **how: int | str) -> DataFrame:
     facts, weights = _leaders(train)
-    return lsh_similarity_join(
-        weights, oracles.DENSE_DISTANCE, oracles.BUCKET, oracles.TABLES, oracles.SEED, facts=facts, **limits
-    )
+    return lsh_similarity_join(weights, distance, bucket, tables, oracles.SEED, facts=facts, **how)
 
 
 def _distance_to_cosine(spark: SparkSession, sf: str) -> DataFrame:
@@ -254,6 +253,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lsh_similarity_join_hot_users": lambda s, d: _rounded(
             _lsh_pairs(_split(s, d, DENSE)[0], block_items=16, prune_above=8), "distance"
         ),
+        "lsh_similarity_join_buckets": lambda s, d: _rounded(
+            _lsh_pairs(_split(s, d, DENSE)[0], plan="buckets", block_items=16), "distance"
+        ),
+        "lsh_similarity_join_far": lambda s, d: _rounded(
+            _lsh_pairs(_split(s, d)[0], oracles.FAR_DISTANCE, oracles.FAR_BUCKET, oracles.FAR_TABLES), "distance"
+        ),
         "distance_to_cosine": _distance_to_cosine,
         "neighbor_ratings": _neighbor_ratings,
         "weighted_rating_sums": _weighted_rating_sums,

@@ -10,6 +10,9 @@ GROUPS = 44
 SLICE = 256
 DENSE_DISTANCE = 1.25
 SPARSE_DISTANCE = 1.3
+FAR_DISTANCE = 1.45
+FAR_TABLES = 2
+FAR_BUCKET = 0.002
 TABLES = 8
 BUCKET = 1.5
 SEED = 42
@@ -85,13 +88,13 @@ def gaussian(key: str, stream: int, seed: int = SEED) -> str:
     return f"sqrt(-2.0 * ln({uniform(key, salt)})) * cos({2.0 * math.pi!r} * {uniform(key, salt + 1)})"
 
 
-def hashes(tables: int = TABLES) -> str:
+def hashes(tables: int = TABLES, bucket: float = BUCKET) -> str:
     axes = " UNION ALL ".join(f"SELECT userId, {t} AS t, {gaussian('userId', t)} AS g FROM users" for t in range(tables))
     return f"""users AS (SELECT DISTINCT userId FROM weights),
 axes AS MATERIALIZED ({axes}),
 lengths AS (SELECT t, sqrt(sum(g * g)) AS len FROM axes GROUP BY t),
 hashes AS MATERIALIZED (
-  SELECT item, t, CAST(floor(sum(weight * g) / any_value(len) / {BUCKET}) AS INTEGER) AS bucket
+  SELECT item, t, CAST(floor(sum(weight * g) / any_value(len) / {bucket}) AS INTEGER) AS bucket
   FROM weights JOIN axes USING (userId) JOIN lengths USING (t) GROUP BY item, t)"""
 
 
@@ -104,6 +107,19 @@ def near(max_distance: float) -> str:
     WHERE x.item = i AND y.item = j))"""
 
 
+# Pairs from the buckets themselves; those without a common rater have cosine zero.
+BUCKET_NEAR = """met AS MATERIALIZED (
+  SELECT DISTINCT x.item AS i, y.item AS j FROM hashes x JOIN hashes y ON x.t = y.t AND x.bucket = y.bucket AND x.item < y.item),
+near AS MATERIALIZED (
+  SELECT * FROM (
+    SELECT met.i, met.j, sqrt(greatest(2.0 - 2 * coalesce(dots.dot, 0), 0.0)) AS distance
+    FROM met LEFT JOIN (
+      SELECT a.item AS i, b.item AS j, sum(a.rating * b.rating) / sqrt(any_value(a.norm2) * any_value(b.norm2)) AS dot
+      FROM met JOIN weights a ON a.item = met.i JOIN weights b ON b.item = met.j AND b.userId = a.userId
+      GROUP BY a.item, b.item) dots ON dots.i = met.i AND dots.j = met.j)
+  WHERE distance < {0})""".format
+
+
 def clusters(rounds: int = KMEANS_ROUNDS, seed: int = SEED) -> str:
     """KMeans unrolled: centres of an assignment, then the nearest centre of every item."""
     parts = [
@@ -214,6 +230,10 @@ FROM train t JOIN (SELECT itemId, sum(rating * rating) AS n FROM train GROUP BY
         "lsh_item_hashes": with_(base, items(), hashes(), final="SELECT item AS itemId, t AS tbl, bucket FROM hashes"),
         "lsh_similarity_join": lsh_dense,
         "lsh_similarity_join_hot_users": lsh_dense,
+        "lsh_similarity_join_buckets": with_(dense, items(), hashes(), BUCKET_NEAR(DENSE_DISTANCE), final=near_final),
+        "lsh_similarity_join_far": with_(
+            base, items(), hashes(FAR_TABLES, FAR_BUCKET), BUCKET_NEAR(FAR_DISTANCE), final=near_final
+        ),
         "distance_to_cosine": with_(
             dense,
             items(),

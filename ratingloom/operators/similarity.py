@@ -11,6 +11,8 @@ from ratingloom.staging import stage
 
 # Room for rounding in the bounds below; survivors are decided on exact dot products.
 SLACK = 1e-9
+# The order of users in the prefix filter: steps for each doubling of activity, and hash classes in each step.
+STEPS, CLASSES = 8, 16
 
 
 def pair_cosines(
@@ -62,15 +64,17 @@ def symmetric_similarities(pairs: DataFrame) -> DataFrame:
 def strong_entries(weights: DataFrame, min_cosine: float) -> DataFrame:
     """Entries that two vectors must share to reach ``min_cosine``, with ``cutoff`` and ``tail``.
 
-    Users are ranked by activity in powers of two. From each vector the entries of the most active
-    users are set aside for as long as their joint length (``tail``) stays below ``min_cosine``:
-    what two unit vectors share only there cannot reach the threshold. So a very active user forms
-    pairs only among the few items whose vector leans on that user.
+    Users are ranked by activity in eighths of a doubling, and within those by a hash of the user, so even users of
+    equal activity have an order. From each vector the entries of the highest ranks are set aside for as long as their
+    joint length (``tail``) stays below ``min_cosine``: what two unit vectors share only there cannot reach the
+    threshold. So a very active user forms pairs only among the few items whose vector leans on that user.
     """
-    activity = weights.groupBy("userId").agg(F.floor(F.log2(F.count("*"))).cast("int").alias("rank"))
+    step = F.floor(F.log2(F.count("*")) * STEPS).cast("int")
+    activity = weights.groupBy("userId").agg(step.alias("step"))
+    activity = activity.select("userId", (F.col("step") * CLASSES + F.pmod(F.xxhash64("userId"), F.lit(CLASSES))).cast("int").alias("rank"))
     ranked = weights.join(activity, "userId")
     energy = ranked.groupBy("leader", "rank").agg(F.sum(F.col("weight") * F.col("weight")).alias("e"))
-    # At most one entry per power of two, so the array of an item holds 63 values at most.
+    # One entry per rank, so the array of an item holds 63 * STEPS * CLASSES = 8,064 values at most.
     steps = energy.groupBy("leader").agg(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("r"), "e"))).alias("s"))
     open_end = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("tail"), F.lit(None).cast("int").alias("cutoff"))
     limit = F.lit(max(min_cosine, 0.0) ** 2)
@@ -115,6 +119,12 @@ def similar_pairs(
     return exact_cosines(kept.select("i", "j"), weights).where(F.col("cosine_sim") > min_cosine)
 
 
+def pair_work(weights: DataFrame) -> int:
+    """Pairs of items that all users form: the rows that a join on common raters makes (one number reaches the driver)."""
+    per_user = weights.groupBy("userId").agg(F.count("*").alias("n"))
+    return per_user.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+
+
 def exact_cosines(pairs: DataFrame, weights: DataFrame) -> DataFrame:
     """Cosine of given pairs of leaders from raw ratings: ``dot / sqrt(norm2 * norm2)``.
 

@@ -109,7 +109,7 @@ def lsh_cf(
     """Neighbours are the items closer than ``max_distance`` that the hashing finds."""
     facts, rated = _prepare(train, None, space)
     near = lsh_similarity_join(
-        leader_weights(rated), max_distance, bucket_length, num_hash_tables, seed, block_items, block_items
+        leader_weights(rated), max_distance, bucket_length, num_hash_tables, seed, block_items, block_items, unrelated=False
     )
     cosines = near.select("i", "j", distance_to_cosine(F.col("distance")).alias("cosine_sim"))
     similarities = symmetric_similarities(stage(cosines, "similarities", space))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brute_force import by_item, cosine, predictions, scored_map
 from ratingloom.operators.items import item_facts, leader_weights, with_facts
-from ratingloom.operators.lsh import lsh_similarity_join
+from ratingloom.operators.lsh import bucket_pairs, lsh_item_hashes, lsh_similarity_join
 from ratingloom.operators.pairing import corated
 from ratingloom.operators.similarity import similar_pairs, strong_entries
 from ratingloom.plans.recommenders import exact_cf, group_cf, lsh_cf
@@ -129,12 +129,66 @@ def test_own_ratings_and_copies_at_every_size(skewed, spark, limits):
     assert scored_map(found) == predictions(train, both)
 
 
+def bucket_mates(weights, tables, length, seed=42):
+    """Pairs that share a bucket, from the hashes themselves."""
+    found = {r["leader"]: r["hashes"] for r in lsh_item_hashes(weights, length, tables, seed).collect()}
+    return {(i, j) for i in found for j in found if i < j and any(x == y for x, y in zip(found[i], found[j], strict=True))}
+
+
 def test_far_pairs_of_negative_ratings_are_found(spark):
     rows = [(u, i, float((u * 5 + i * 3) % 7 - 3)) for u in range(6) for i in range(6)]
     vectors = by_item(rows)
-    want = {(i, j) for i in vectors for j in vectors if i < j and (2 - 2 * cosine(vectors[i], vectors[j])) ** 0.5 < 1.6}
     train = spark.createDataFrame(rows, RATINGS)
     facts = item_facts(train)
-    found = lsh_similarity_join(leader_weights(with_facts(train, facts)), 1.6, num_hash_tables=60, facts=facts)
+    weights = leader_weights(with_facts(train, facts))
+    leader = {r["itemId"]: r["leader"] for r in facts.collect()}
+    mates = bucket_mates(weights, 3, 0.8)
+    near = {(i, j): (2 - 2 * cosine(vectors[i], vectors[j])) ** 0.5 for i in vectors for j in vectors if i < j}
+    want = {
+        (i, j) for (i, j), d in near.items()
+        if d < 1.6 and (leader[i] == leader[j] or tuple(sorted((leader[i], leader[j]))) in mates)
+    }
+    found = lsh_similarity_join(weights, 1.6, 0.8, 3, facts=facts)
     pairs = {(r["i"], r["j"]): r["distance"] for r in found.collect()}
-    assert set(pairs) <= want and any(d > 2**0.5 for d in pairs.values())
+    assert set(pairs) == want and any(d > 2**0.5 for d in pairs.values())
+
+
+@pytest.mark.parametrize(
+    "plan, block_items, max_distance", [("buckets", 5, 0.4), ("buckets", 5, 1.45), (None, 1000, 1.2), ("raters", 5, 1.45)]
+)
+def test_both_plans_find_the_pairs_of_the_buckets(skewed, plan, block_items, max_distance):
+    train, _, train_df, _ = skewed
+    weights = weights_of(train_df)
+    vectors = by_item(train)
+    want = {}
+    for i, j in bucket_mates(weights, 3, 0.15):
+        common = cosine(vectors[i], vectors[j])
+        if (2 - 2 * common) ** 0.5 < max_distance:
+            want[i, j] = round((2 - 2 * common) ** 0.5, 6)
+    if plan == "raters" and max_distance > 2**0.5:
+        with pytest.raises(ValueError):
+            lsh_similarity_join(weights, max_distance, 0.15, 3, plan=plan)
+        want = {k: d for k, d in want.items() if cosine(vectors[k[0]], vectors[k[1]]) > 0}
+    found = lsh_similarity_join(
+        weights, max_distance, 0.15, 3, block_items=block_items, plan=plan, unrelated=plan != "raters"
+    ).collect()
+    assert {(r["i"], r["j"]): round(r["distance"], 6) for r in found} == want
+    assert len(found) == len(want)
+    if max_distance > 2**0.5 and plan != "raters":
+        assert any(cosine(vectors[i], vectors[j]) == 0 for i, j in want)
+
+
+def test_a_full_bucket_is_cut_without_losing_a_near_pair(spark):
+    rng = random.Random(4)
+    rows = [(n, [0, 0], [rng.uniform(-1, 1), rng.uniform(-1, 1)]) for n in range(300)]
+    hashed = spark.createDataFrame(rows, "leader long, hashes array<int>, splits array<double>")
+    want = {(a, b) for a, _, x in rows for b, _, y in rows if a < b and max(abs(p - q) for p, q in zip(x, y, strict=True)) < 0.1}
+    found = [(r["i"], r["j"]) for r in bucket_pairs(hashed, 0.1, block_items=4).collect()]
+    assert len(found) == len(want) and set(found) == want
+
+
+def test_finer_order_sets_entries_aside_where_all_users_are_alike(spark):
+    rng = random.Random(6)
+    rows = [(u, i, rng.randint(1, 10) / 2) for u in range(60) for i in rng.sample(range(120), 40)]
+    weights = weights_of(spark.createDataFrame(rows, RATINGS))
+    assert strong_entries(weights, 0.5).count() <= 0.85 * weights.count()
