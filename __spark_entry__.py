@@ -268,6 +268,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "evaluate_predictions_dense": lambda s, d: _evaluate(s, d, DENSE),
         "exact_cf": lambda s, d: _scored(exact_cf(*_split(s, d))),
         "exact_cf_hot_users": lambda s, d: _scored(exact_cf(*_split(s, d), heavy_items=32, block_items=8)),
+        "exact_cf_touched": lambda s, d: _scored(exact_cf(*_split(s, d), plan="touched")),
+        "exact_cf_wanted_pairs": lambda s, d: _scored(exact_cf(*_split(s, d), plan="pairs")),
         "group_cf": _group_cf,
         "cluster_cf": lambda s, d: _scored(cluster_cf(*_split(s, d), max_iter=oracles.KMEANS_ROUNDS)),
         "lsh_cf": _lsh_cf,

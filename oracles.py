@@ -261,6 +261,8 @@ FROM neighbors""",
         "evaluate_predictions_dense": with_(dense, *exact[1:], final=errors),
         "exact_cf": exact_final,
         "exact_cf_hot_users": exact_final,
+        "exact_cf_touched": exact_final,
+        "exact_cf_wanted_pairs": exact_final,
         "group_cf": with_(*by_group, final=SCORED),
         "kmeans_item_clusters": with_(
             base,

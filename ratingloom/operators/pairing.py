@@ -26,7 +26,7 @@ def corated(
 
     ``rated`` has ``userId, leader`` and the ``carry`` columns, which come back as ``a_*`` and
     ``b_*``; ``within`` adds columns that must be equal. A user with more than ``block_items``
-    items is cut into blocks by item hash and the blocks are paired as separate join keys, so the
+    items (of equal ``within``) is cut into blocks by item hash and the blocks are paired as separate join keys, so the
     work of one user spreads over many tasks. ``max_items`` is the largest number of items of a
     user, or any bound above it, when it is known; if it fits one block, there are no blocks.
     """
@@ -44,8 +44,8 @@ def corated(
         met = side(plain, "a", base).join(side(plain, "b", base), base)
         return met.where(F.col("a_leader") < F.col("b_leader"))
 
-    blocks = rated.groupBy("userId").agg(F.ceil(F.count("*") / block_items).alias("n_blocks"))
-    placed = rated.join(blocks, "userId").withColumn("block", F.pmod(F.xxhash64("leader"), F.col("n_blocks")))
+    blocks = rated.groupBy(*base).agg(F.ceil(F.count("*") / block_items).alias("n_blocks"))
+    placed = rated.join(blocks, base).withColumn("block", F.pmod(F.xxhash64("leader"), F.col("n_blocks")))
     # The pair of blocks (x, y), x <= y, receives block x on the left and block y on the right.
     left = placed.withColumn("y", F.explode(F.sequence("block", F.col("n_blocks") - 1))).withColumn("x", F.col("block"))
     right = placed.withColumn("x", F.explode(F.sequence(F.lit(0).cast("bigint"), "block"))).withColumn("y", F.col("block"))
@@ -59,3 +59,37 @@ def corated(
         for c in ["leader", *carry]
     ]
     return met.where(once).select(*base, *swapped)
+
+
+def met_between(
+    left: DataFrame,
+    right: DataFrame,
+    carry: list[str],
+    *,
+    within: list[str] | None = None,
+    block_items: int = BLOCK_ITEMS,
+) -> DataFrame:
+    """Each user's items of ``left`` with its other items of ``right``: ``a_*`` and ``b_*``, in this order.
+
+    Both have ``userId, leader``, the ``within`` columns and ``carry``. A user is cut into blocks on either side, and
+    every block of one meets every block of the other as a join key of its own.
+    """
+    base = ["userId", *(within or [])]
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*base).agg(F.ceil(F.count("*") / block_items).cast("int").alias(name))
+
+    # Only users on both sides matter, which also leaves out all others before they are shuffled by key.
+    cut = blocks(left, "n_x").join(blocks(right, "n_y"), base)
+
+    def side(df: DataFrame, prefix: str, own: str, other: str) -> DataFrame:
+        placed = df.join(cut, base).withColumns(
+            {
+                own: F.pmod(F.xxhash64("leader"), F.col(f"n_{own}")).cast("int"),
+                other: F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)),
+            }
+        )
+        return placed.select(*base, "x", "y", *[F.col(c).alias(f"{prefix}_{c}") for c in ["leader", *carry]])
+
+    met = side(left, "a", "x", "y").join(side(right, "b", "y", "x"), [*base, "x", "y"])
+    return met.where(F.col("a_leader") != F.col("b_leader")).drop("x", "y")

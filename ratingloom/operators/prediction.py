@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratingloom.functions.scores import weighted_mean
-from ratingloom.operators.pairing import BLOCK_ITEMS, largest_user
-from ratingloom.operators.similarity import pair_cosines
-from ratingloom.staging import stage
+from ratingloom.operators.pairing import BLOCK_ITEMS, largest_user, met_between
+from ratingloom.operators.similarity import exact_cosines, pair_cosines
+from ratingloom.staging import Workspace, stage
 
 # Users with at most this many items are always handled item pair by item pair.
 HEAVY_ITEMS = 2048
@@ -119,18 +119,21 @@ def all_neighbor_sums(
     owned: DataFrame,
     heavy_items: int = HEAVY_ITEMS,
     block_items: int = BLOCK_ITEMS,
+    space: Workspace | None = None,
+    plan: str | None = None,
 ) -> DataFrame:
     """``weighted_rating_sum, similarity_sum`` per test row over all items with a common rater.
 
     With a ``grp`` column the neighbours are those of the target's group. The result is the same as
     ``weighted_rating_sums`` over all similarities, without a similarity table for users who rated
-    a large part of the items.
+    a large part of the items. ``plan`` is one of those of ``demand_plan``, which chooses without it.
     """
     within = ["grp"] if "grp" in weights.columns else []
+    targets = stage(targets, "targets", space)  # small beside the training side, and read by every step
     most = largest_user(weights)
     negative = (weights.agg(F.min("weight")).first()[0] or 0.0) < 0
     if most <= heavy_items or negative:
-        return _sums_by_item_pair(targets, weights, owned, within, block_items, most)
+        return _sums_by_item_pair(targets, weights, owned, within, block_items, most, plan)
     # Item pairs of a user number its items squared; the other way its items times their raters.
     heavy = stage(
         weights.groupBy("userId")
@@ -138,12 +141,13 @@ def all_neighbor_sums(
         .where((F.col("n") > heavy_items) & (F.col("n") * F.col("n") > 2 * F.col("reach")))
         .select("userId"),
         "heavy-users",
+        space,
     )
 
     def light_part(df: DataFrame) -> DataFrame:
         return df.join(heavy, "userId", "left_anti")
 
-    by_item = _sums_by_item_pair(light_part(targets), light_part(weights), light_part(owned), within, block_items, None)
+    by_item = _sums_by_item_pair(light_part(targets), light_part(weights), light_part(owned), within, block_items, None, plan)
     by_user = _sums_by_user_pair(targets, weights, owned, within, heavy)
     return (
         by_item.unionByName(by_user)
@@ -152,26 +156,71 @@ def all_neighbor_sums(
     )
 
 
+def touched_cosines(
+    targets: DataFrame, weights: DataFrame, owned: DataFrame, within: list[str], block_items: int = BLOCK_ITEMS
+) -> DataFrame:
+    """``target, leader, cosine_sim`` between the targets and what test users own, from the ratings of these two only."""
+    asked = targets.select("leader").distinct()
+    offered = owned.join(targets.select("userId", *within).distinct(), ["userId", *within], "left_semi")
+    left = weights.join(asked, "leader", "left_semi")
+    right = weights.join(offered.select("leader").distinct(), "leader", "left_semi")
+    met = met_between(left, right, ["weight"], within=within, block_items=block_items)
+    return met.groupBy(F.col("a_leader").alias("target"), F.col("b_leader").alias("leader")).agg(
+        F.sum(F.col("a_weight") * F.col("b_weight")).alias("cosine_sim")
+    )
+
+
+def demand_plan(targets: DataFrame, weights: DataFrame, owned: DataFrame, within: list[str]) -> str:
+    """How the cosines that ``targets`` ask for are found with the fewest rows: ``all``, ``touched`` or ``pairs``.
+
+    ``all`` forms every pair of co-rated items, ``touched`` only those of a target with an item that a test user
+    owns, ``pairs`` looks up the ratings of each wanted pair. While most items are asked for, all pairs are formed.
+    """
+    items = weights.select("leader").distinct().count()
+    asked = targets.select("leader").distinct()
+    if 2 * asked.count() > items:
+        return "all"
+    known = weights.join(asked.withColumn("asked", F.lit(1)), "leader", "left")
+    per_user = known.groupBy("userId", *within).agg(F.count("*").alias("n"), F.count("asked").alias("asked"))
+    work = per_user.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.sum(F.col("n") * F.col("asked"))).first()
+    n_owned = owned.groupBy("userId", *within).count()
+    raters = weights.groupBy("leader").agg(F.count("*").alias("raters"))
+    wanted = targets.join(n_owned, ["userId", *within]).join(raters, "leader").agg(F.sum(F.col("count") * F.col("raters")))
+    costs = dict(zip(("all", "touched", "pairs"), [*work, wanted.first()[0]], strict=True))
+    return min(costs, key=lambda name: costs[name] or 0)
+
+
 def _sums_by_item_pair(
-    targets: DataFrame, weights: DataFrame, owned: DataFrame, within: list[str], block_items: int, most: int | None
+    targets: DataFrame,
+    weights: DataFrame,
+    owned: DataFrame,
+    within: list[str],
+    block_items: int,
+    most: int | None,
+    plan: str | None = None,
 ) -> DataFrame:
     # What two copies share of these weights: 1 when the weights are those of all users.
-    alike = weights.groupBy("leader").agg(F.sum(F.col("weight") * F.col("weight")).alias("cosine_sim"))
-    cosines = pair_cosines(weights, within, block_items, most).unionByName(
-        alike.select(F.col("leader").alias("i"), F.col("leader").alias("j"), "cosine_sim")
-    )
+    alike = weights.join(targets.select("leader").distinct(), "leader", "left_semi").groupBy("leader")
+    alike = alike.agg(F.sum(F.col("weight") * F.col("weight")).alias("cosine_sim"))
     rows = targets.select(*ROW, *within, "own_rating", "own_n", F.col("leader").alias("target"))
     met = rows.join(owned, ["userId", *within])
     other = met.where(F.col("target") != F.col("leader")).drop("own_rating", "own_n")
     same = _without_own(met.where(F.col("target") == F.col("leader")), "").drop("own_rating", "own_n")
-    wanted = other.unionByName(same).select(
-        *ROW,
-        F.least("target", "leader").alias("i"),
-        F.greatest("target", "leader").alias("j"),
-        F.col("rating_sum").alias("neighbor_rating_sum"),
-        F.col("n_owned").alias("neighbor_n_owned"),
-    )
-    return weighted_rating_sums(wanted.join(cosines, ["i", "j"]))
+    wanted = other.withColumnsRenamed({"rating_sum": "neighbor_rating_sum", "n_owned": "neighbor_n_owned"})
+    copies = same.withColumnsRenamed({"rating_sum": "neighbor_rating_sum", "n_owned": "neighbor_n_owned"})
+    copies = copies.join(alike, "leader")
+    plan = plan or demand_plan(targets, weights, owned, within)
+    if plan == "touched":
+        found = wanted.join(touched_cosines(targets, weights, owned, within, block_items), ["target", "leader"])
+    else:
+        ordered = wanted.withColumns({"i": F.least("target", "leader"), "j": F.greatest("target", "leader")})
+        if plan == "pairs":
+            cosines = exact_cosines(ordered.select("i", "j").distinct(), weights)
+        else:
+            cosines = pair_cosines(weights, within, block_items, most)
+        found = ordered.join(cosines, ["i", "j"])
+    kept = [*ROW, "neighbor_rating_sum", "neighbor_n_owned", "cosine_sim"]
+    return weighted_rating_sums(found.select(*kept).unionByName(copies.select(*kept)))
 
 
 def _sums_by_user_pair(

@@ -43,11 +43,12 @@ def group_cf(
     heavy_items: int = HEAVY_ITEMS,
     block_items: int = BLOCK_ITEMS,
     space: Workspace | None = None,
+    plan: str | None = None,
 ) -> DataFrame:
     """Neighbours are all co-rated items of the same group: ``groups`` has ``itemId, grp``."""
     facts, rated = _prepare(train, groups, space)
     sums = all_neighbor_sums(
-        targets_of(test, facts, rated), leader_weights(rated), owned_ratings(rated), heavy_items, block_items
+        targets_of(test, facts, rated), leader_weights(rated), owned_ratings(rated), heavy_items, block_items, space, plan
     )
     return predict_ratings(sums)
 
@@ -58,9 +59,10 @@ def exact_cf(
     heavy_items: int = HEAVY_ITEMS,
     block_items: int = BLOCK_ITEMS,
     space: Workspace | None = None,
+    plan: str | None = None,
 ) -> DataFrame:
     """Neighbours are all co-rated items."""
-    return group_cf(train, test, None, heavy_items, block_items, space)
+    return group_cf(train, test, None, heavy_items, block_items, space, plan)
 
 
 def item_clusters(train: DataFrame, k: int | None = None, seed: int = 42, max_iter: int = 20) -> DataFrame:
@@ -91,7 +93,7 @@ def cluster_cf(
     groups = clusters.withColumnRenamed("cluster", "grp")
     facts, rated = facts.join(groups, "leader"), rated.join(groups, "leader")
     sums = all_neighbor_sums(
-        targets_of(test, facts, rated), leader_weights(rated), owned_ratings(rated), heavy_items, block_items
+        targets_of(test, facts, rated), leader_weights(rated), owned_ratings(rated), heavy_items, block_items, space
     )
     return predict_ratings(sums)
 
