@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratingloom.llm.arrays import indices, let, split_words
+from ratingloom.staging import stage
 
 BOUND = 8192
 WINDOW = 5
@@ -202,7 +203,8 @@ def learn_rules(docs: DataFrame, labels: DataFrame, bound: int = BOUND, text: st
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(bound)
     )
-    known = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
+    # Written, or the filter below is pushed under the join and counts the words of every text.
+    known = stage(docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(sample), "doc_id"), "labelled")
     stats = known.select("doc_id", "quality", statistics(F.col("text")).alias("s")).where(~base_failed(F.col("s")))
     values = features(F.col("s"))
     rows = (
