@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 import oracles
 from ratingloom.functions.scores import distance_to_cosine
+from ratingloom.operators.clustering import assign_items, kmeans_item_clusters
+from ratingloom.operators.dense import dense_lsh_hashes, unit_vectors
 from ratingloom.operators.evaluation import evaluate_predictions
 from ratingloom.operators.items import item_facts, leader_weights, with_facts
 from ratingloom.operators.lsh import hashes_of_items, lsh_item_hashes, lsh_similarity_join
@@ -37,7 +39,14 @@ from ratingloom.operators.vectors import item_user_ratings, item_vectors, normal
 from ratingloom.plans.experiment import run_experiment
 from ratingloom.plans.recommenders import cluster_cf, exact_cf, group_cf, item_clusters, lsh_cf
 from ratingloom.sources.order_ratings import order_lines, order_ratings
-from ratingloom.sources.ratings_files import convert_all, convert_dat, csv_columns, load_ratings, read_ratings_csv
+from ratingloom.sources.ratings_files import (
+    convert_all,
+    convert_dat,
+    csv_columns,
+    load_ratings,
+    quarantine_dat,
+    read_ratings_csv,
+)
 from ratingloom.sources.summaries import read_summary
 from ratingloom.staging import Workspace, fresh_path, stage
 
@@ -215,6 +224,49 @@ def _lsh_cf(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _quarantined_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that fit and lines that do not, of a file whose highest ratings are spelled out."""
+    raw, out = fresh_path(spark, "ratings-dat"), fresh_path(spark, "ratings-sorted-out")
+    spelled = F.when(F.col("rating") == 5, "five").otherwise(F.col("rating").cast("string"))
+    order_lines(spark, sf).select(F.concat_ws("::", "userId", "itemId", spelled, "ts")).write.text(raw)
+    clean, rejected = quarantine_dat(spark, raw, out)
+    counts = [df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n_rows")) for kind, df in (("clean", clean), ("rejected", rejected))]
+    return counts[0].unionByName(counts[1])
+
+
+def _assign_new_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers, as items that the clustering of parts has not seen, by its kept centres."""
+    train, model = _split(spark, sf)[0], fresh_path(spark, "kmeans-model")
+    _, weights = _leaders(train)
+    k = default_cluster_count(train).first()["k"]
+    kmeans_item_clusters(weights, k, oracles.SEED, oracles.KMEANS_ROUNDS, model=model)
+    return assign_items(order_ratings(spark, sf, DENSE), model)
+
+
+def _lsh_hashes_of_new_items(spark: SparkSession, sf: str) -> DataFrame:
+    train = _split(spark, sf)[0]
+    _, weights = _leaders(order_ratings(spark, sf, DENSE))
+    users = train.select("userId").distinct()
+    hashes = lsh_item_hashes(weights, oracles.BUCKET, oracles.TABLES, oracles.SEED, users)
+    return hashes.select(F.col("leader").alias("itemId"), F.posexplode("hashes").alias("tbl", "bucket"))
+
+
+def _embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+
+
+def _dense_unit_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    units = unit_vectors(_embeddings(spark, sf), "embedding").select("vec_id", F.posexplode("unit").alias("idx", "value"))
+    return _rounded(units, "value")
+
+
+def _dense_lsh_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    found = dense_lsh_hashes(
+        _embeddings(spark, sf), "embedding", oracles.DIMS, oracles.DENSE_BUCKET, oracles.TABLES, oracles.SEED
+    )
+    return found.select("vec_id", F.posexplode("hashes").alias("tbl", "bucket"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Predict the held-out ratings from all co-rated items."""
     return exact_cf(*_split(spark, "/root/testdata/sf0.001"))
@@ -276,6 +328,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "experiment_summary_lsh": lambda s, d: _experiment_summary(s, d, "lsh", **_LSH),
         "experiment_summary_cluster": lambda s, d: _experiment_summary(s, d, "cluster", max_iter=oracles.KMEANS_ROUNDS),
         "named_datasets": _named_datasets,
+        "quarantined_lines": _quarantined_lines,
+        "assign_new_items": _assign_new_items,
+        "lsh_hashes_of_new_items": _lsh_hashes_of_new_items,
+        "dense_unit_vectors": _dense_unit_vectors,
+        "dense_lsh_hashes": _dense_lsh_hashes,
         "exact_cf_overlap": lambda s, d: _scored(exact_cf(*_overlap(s, d))),
         "exact_cf_overlap_hot_users": lambda s, d: _scored(exact_cf(*_overlap(s, d), heavy_items=32, block_items=8)),
         "exact_cf_copies": lambda s, d: _scored(exact_cf(*_with_copies(s, d))),

@@ -12,6 +12,8 @@ DENSE_DISTANCE = 1.25
 SPARSE_DISTANCE = 1.3
 FAR_DISTANCE = 1.45
 FAR_TABLES = 2
+DIMS = 64
+DENSE_BUCKET = 0.1
 FAR_BUCKET = 0.002
 TABLES = 8
 BUCKET = 1.5
@@ -120,6 +122,17 @@ near AS MATERIALIZED (
   WHERE distance < {0})""".format
 
 
+NEW_ITEMS = """new_weights AS MATERIALIZED (
+  SELECT userId, itemId, rating / sqrt(sum(rating * rating) OVER (PARTITION BY itemId)) AS weight FROM (
+    SELECT CAST(o_custkey AS BIGINT) AS userId, CAST(l_suppkey AS BIGINT) AS itemId,
+           max(CAST(ceil(l_quantity / 5) AS DOUBLE) / 2) AS rating
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY o_custkey, l_suppkey))"""
+
+DENSE_ENTRIES = """entries AS MATERIALIZED (
+  SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS idx, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings),
+norms AS (SELECT vec_id, sqrt(sum(value * value)) AS norm FROM entries GROUP BY vec_id)"""
+
+
 def clusters(rounds: int = KMEANS_ROUNDS, seed: int = SEED) -> str:
     """KMeans unrolled: centres of an assignment, then the nearest centre of every item."""
     parts = [
@@ -193,6 +206,11 @@ FROM lineitem JOIN orders ON o_orderkey = l_orderkey"""
   count(*) AS "Scored Rows", round(sqrt(avg(power(pred_rating - actual_rating, 2))), 6) AS "RMSE",
   round(avg(abs(pred_rating - actual_rating)), 6) AS "MAE" FROM scored"""
 
+    last = KMEANS_ROUNDS - 1
+    offer = "CAST(floor((1.0 + norm2 - 2.0 * {0}) / 1e-9 + 0.5) AS BIGINT) * 65536 + cluster".format
+    dense_axes = " UNION ALL ".join(
+        f"SELECT idx, {t} AS t, {gaussian('idx', t)} AS g FROM (SELECT unnest(range({DIMS})) AS idx)" for t in range(TABLES)
+    )
     k = "(SELECT CAST(greatest(10, least(100, floor(sqrt(count(*))))) AS INTEGER) FROM items)"
     return {
         "scan_ratings": with_(base, final="SELECT userId, itemId, rating FROM ratings"),
@@ -282,6 +300,25 @@ FROM neighbors""",
             *cluster, final=summary("Cosine (within cluster)", clustering=f"'KMeans (k=' || {k} || ')'")
         ),
         "named_datasets": with_(base, final="SELECT userId, itemId, rating FROM ratings"),
+        "quarantined_lines": f"""SELECT CASE WHEN rating = 5 THEN 'rejected' ELSE 'clean' END AS kind, count(*) AS n_rows
+FROM ({raw}) GROUP BY kind""",
+        "assign_new_items": with_(base, items(), clusters(), NEW_ITEMS, final=f"""SELECT itemId, CAST(min(offer) % 65536 AS INTEGER) AS cluster
+FROM (
+  SELECT itemId, {offer("dot")} AS offer
+  FROM (SELECT itemId, cluster, sum(weight * value) AS dot FROM new_weights JOIN m{last} USING (userId) GROUP BY itemId, cluster)
+  JOIN n{last} USING (cluster)
+  UNION ALL
+  SELECT itemId, (SELECT min({offer("0.0")}) FROM n{last}) FROM (SELECT DISTINCT itemId FROM new_weights))
+GROUP BY itemId"""),
+        "lsh_hashes_of_new_items": with_(base, items(), hashes(), NEW_ITEMS, final=f"""SELECT itemId, t AS tbl,
+  CAST(floor(sum(weight * g) / any_value(len) / {BUCKET}) AS INTEGER) AS bucket
+FROM new_weights JOIN axes USING (userId) JOIN lengths USING (t) GROUP BY itemId, t"""),
+        "dense_unit_vectors": f"""WITH {DENSE_ENTRIES}
+SELECT vec_id, idx, round(value / norm, 6) AS value FROM entries JOIN norms USING (vec_id)""",
+        "dense_lsh_hashes": f"""WITH {DENSE_ENTRIES}, axes AS ({dense_axes}),
+lengths AS (SELECT t, sqrt(sum(g * g)) AS len FROM axes GROUP BY t)
+SELECT vec_id, t AS tbl, CAST(floor(sum(value / norm * g / len) / {DENSE_BUCKET}) AS INTEGER) AS bucket
+FROM entries JOIN norms USING (vec_id) JOIN axes USING (idx) JOIN lengths USING (t) GROUP BY vec_id, t""",
         "exact_cf_overlap": with_(overlap, *exact[1:], final=SCORED),
         "exact_cf_overlap_hot_users": with_(overlap, *exact[1:], final=SCORED),
         "exact_cf_copies": with_(copied, *exact[1:], final=SCORED),

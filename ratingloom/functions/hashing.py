@@ -50,8 +50,13 @@ def uniform(key: str, salt: int) -> Column:
     return F.expr(_uniform(key, salt))
 
 
-def gaussian(key: str, stream: int, seed: int) -> Column:
-    """Standard normal value of ``key`` in random stream ``stream`` (Box-Muller)."""
+def gaussian_sql(key: str, stream: int, seed: int) -> str:
+    """Standard normal value of ``key`` in random stream ``stream`` (Box-Muller), as SQL text."""
     salt = seed * 1009 + 2 * stream
     radius = f"sqrt(-2.0D * ln({_uniform(key, salt)}))"
-    return F.expr(f"{radius} * cos({2.0 * math.pi!r}D * {_uniform(key, salt + 1)})")
+    return f"{radius} * cos({2.0 * math.pi!r}D * {_uniform(key, salt + 1)})"
+
+
+def gaussian(key: str, stream: int, seed: int) -> Column:
+    """The same as a column."""
+    return F.expr(gaussian_sql(key, stream, seed))

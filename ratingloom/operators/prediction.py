@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratingloom.functions.scores import weighted_mean
+from ratingloom.functions.sums import exact_sum
 from ratingloom.operators.pairing import BLOCK_ITEMS, largest_user, met_between
-from ratingloom.operators.similarity import exact_cosines, pair_cosines
+from ratingloom.operators.similarity import exact_cosines, pair_cosines, rating_cosine
 from ratingloom.staging import Workspace, stage
 
 # Users with at most this many items are always handled item pair by item pair.
@@ -91,13 +92,13 @@ def _without_own(rows: DataFrame, prefix: str) -> DataFrame:
 
 
 def weighted_rating_sums(neighbors: DataFrame) -> DataFrame:
-    """Per test row, the weighted rating sum and the similarity mass of its neighbours."""
+    """Per test row, the weighted rating sum and the similarity mass of its neighbours, whatever their order."""
     grouped = "neighbor_rating_sum" in neighbors.columns
     rating = F.col("neighbor_rating_sum" if grouped else "neighbor_rating")
     times = F.col("neighbor_n_owned") if grouped else F.lit(1)
     return neighbors.groupBy(*ROW).agg(
-        F.sum(F.col("cosine_sim") * rating).alias("weighted_rating_sum"),
-        F.sum(F.abs("cosine_sim") * times).alias("similarity_sum"),
+        exact_sum(F.col("cosine_sim") * rating).alias("weighted_rating_sum"),
+        exact_sum(F.abs("cosine_sim") * times).alias("similarity_sum"),
     )
 
 
@@ -164,9 +165,9 @@ def touched_cosines(
     offered = owned.join(targets.select("userId", *within).distinct(), ["userId", *within], "left_semi")
     left = weights.join(asked, "leader", "left_semi")
     right = weights.join(offered.select("leader").distinct(), "leader", "left_semi")
-    met = met_between(left, right, ["weight"], within=within, block_items=block_items)
+    met = met_between(left, right, ["rating", "norm2"], within=within, block_items=block_items)
     return met.groupBy(F.col("a_leader").alias("target"), F.col("b_leader").alias("leader")).agg(
-        F.sum(F.col("a_weight") * F.col("b_weight")).alias("cosine_sim")
+        rating_cosine().alias("cosine_sim")
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratingloom.operators.items import expand_pairs, item_facts, leader_weights, with_facts
@@ -19,10 +19,17 @@ def pair_cosines(
     weights: DataFrame, within: list[str] | None = None, block_items: int = BLOCK_ITEMS, max_items: int | None = None
 ) -> DataFrame:
     """``i, j, cosine_sim`` (i < j) of all pairs of leaders with a common rater."""
-    met = corated(weights, ["weight"], within=within, block_items=block_items, max_items=max_items)
-    return met.groupBy(F.col("a_leader").alias("i"), F.col("b_leader").alias("j")).agg(
-        F.sum(F.col("a_weight") * F.col("b_weight")).alias("cosine_sim")
-    )
+    met = corated(weights, ["rating", "norm2"], within=within, block_items=block_items, max_items=max_items)
+    return met.groupBy(F.col("a_leader").alias("i"), F.col("b_leader").alias("j")).agg(rating_cosine().alias("cosine_sim"))
+
+
+def rating_cosine() -> Column:
+    """Cosine of two items over their ``a_*`` and ``b_*`` rows: sums of products of ratings, then one division.
+
+    Products of ratings in steps of a half are added up without rounding, so the order of the rows does not matter.
+    """
+    dots = F.sum(F.col("a_rating") * F.col("b_rating"))
+    return dots / F.sqrt(F.max("a_norm2") * F.max("b_norm2"))
 
 
 def item_cosine(train: DataFrame) -> DataFrame:

@@ -59,6 +59,20 @@ def read_ratings_dat(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="::", schema=RAW_RATINGS, mode="FAILFAST")
 
 
+def quarantine_dat(spark: SparkSession, path: str, out: str) -> tuple[DataFrame, DataFrame]:
+    """Raw lines as two tables below ``out``: those that fit, and the text of those that do not.
+
+    Both are written in one pass over the files. ``read_ratings_dat`` fails instead.
+    """
+    bad = "bad_line"
+    schema = T.StructType([*RAW_RATINGS.fields, T.StructField(bad, T.StringType())])
+    lines = spark.read.csv(path, sep="::", schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord=bad)
+    lines.withColumn("rejected", F.col(bad).isNotNull()).write.partitionBy("rejected").parquet(out)
+    schema = T.StructType([*schema.fields, T.StructField("rejected", T.BooleanType())])
+    written = spark.read.schema(schema).parquet(out)
+    return written.where("NOT rejected").select(*RAW_RATINGS.fieldNames()), written.where("rejected").select(bad)
+
+
 def csv_columns(raw: DataFrame) -> DataFrame:
     renamed: list[Column] = [F.col(f.name).alias(c) for f, c in zip(RAW_RATINGS.fields, RATINGS_CSV_COLUMNS)]
     return raw.select(*renamed)

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -49,6 +51,12 @@ class Workspace:
         """Write ``df`` once and return the written table."""
         return self.spark.read.schema(df.schema).parquet(self.write(df, label))
 
+    def stage_observed(self, df: DataFrame, label: str, **figures: Column) -> tuple[DataFrame, dict[str, Any]]:
+        """The same, with aggregates of all rows that are taken while they are written."""
+        seen = Observation()
+        observed = df.observe(seen, *[figure.alias(name) for name, figure in figures.items()])
+        return self.stage(observed, label), seen.get
+
     def remove(self) -> None:
         remove_path(self.spark, self.root)
 
