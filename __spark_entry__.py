@@ -275,7 +275,7 @@ def entry(spark: SparkSession) -> DataFrame:
 try:
     llm_registry = importlib.import_module("ratingloom.llm.registry")
 except ModuleNotFoundError as missing:
-    if not (missing.name or "").startswith(("ratingloom.llm", "corpus_pipeline")):
+    if not (missing.name or "").startswith(("ratingloom.llm", "corpus_pipeline", "public_tokenizers", "tokenizers")):
         raise
     llm_registry = None
 

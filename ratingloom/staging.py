@@ -2,7 +2,8 @@
 
 A written table cuts the lineage, survives the loss of an executor, keeps column pruning and
 gives the planner true sizes for the next step. Written tables live in a folder that all executors
-reach: the one given, else ``spark.checkpoint.dir``, else a folder beside the session's warehouse tables.
+reach: the one given, else ``spark.checkpoint.dir``, else a folder beside the session's warehouse tables (an error on a
+cluster whose warehouse is a local folder).
 """
 
 from __future__ import annotations
@@ -14,10 +15,19 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
+def shared_folder(checkpoint: str | None, warehouse: str, master: str) -> str:
+    """The checkpoint folder, else one in the warehouse, which on a cluster must not lie on one machine."""
+    if checkpoint:
+        return checkpoint.rstrip("/")
+    if not master.startswith("local") and warehouse.split(":")[0] in ("file", warehouse):
+        raise RuntimeError(f"set spark.checkpoint.dir: executors do not see each other's files below {warehouse}")
+    return warehouse.rstrip("/") + "/_staged"
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder of the session; no setting is changed."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return (shared or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged").rstrip("/")
+    conf = spark.conf
+    return shared_folder(conf.get("spark.checkpoint.dir", None), conf.get("spark.sql.warehouse.dir"), conf.get("spark.master"))
 
 
 def fresh_path(spark: SparkSession, label: str, folder: str | None = None) -> str:

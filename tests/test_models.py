@@ -19,7 +19,7 @@ from ratingloom.plans.recommenders import exact_cf
 from ratingloom.schema import RATINGS, RAW_RATINGS
 from ratingloom.sources.ratings_files import quarantine_dat
 from ratingloom.sources.summaries import append_summary, read_summary, summary_row
-from ratingloom.staging import Workspace
+from ratingloom.staging import Workspace, shared_folder
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -141,6 +141,15 @@ def test_a_repeated_append_leaves_one_row(spark, tmp_path):
     assert read_summary(spark, path).count() == 3
 
 
+def test_a_cluster_needs_a_shared_folder():
+    assert shared_folder("/shared/", "file:/w", "yarn") == "/shared"
+    assert shared_folder(None, "file:/w/", "local[8]") == "file:/w/_staged"
+    assert shared_folder(None, "hdfs://store/w", "yarn") == "hdfs://store/w/_staged"
+    for warehouse in ("file:/w", "/w", "file:///w"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_folder(None, warehouse, "spark://host:7077")
+
+
 def test_figures_are_taken_while_a_table_is_written(spark, ratings):
     with Workspace(spark) as space:
         kept, figures = space.stage_observed(ratings, "ratings", rows=F.count("*"), top=F.max("rating"))
