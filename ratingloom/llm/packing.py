@@ -1,13 +1,16 @@
 """Pack documents into sequences of a fixed number of tokens, similar documents together.
 
 Every document is encoded, closed by an end id, and written once to a staged table. Document frequencies are
-counted over the whole table; there is at most one per id of the vocabulary. Up to ``SHARD`` bytes of an Arrow batch of the table are one shard
-with its own BM25 inverted index, so shards are bounded and need no shuffle. Within a shard a seed starts a window, its unused
-BM25 neighbours fill it, and the document that meets the window's end is cut there and becomes the next seed. What is
-left at a shard's end is cut at powers of two, which need no padding.
-
-Null text is empty and yields the end id alone. Null ids and repeated rows are packed like any other row. An empty table
-gives no pieces.
+counted over the whole table; there is at most one per id of the vocabulary. Documents are then sorted over the whole table by
+their ``ROUTE`` rarest ids that other documents have too, so that like documents meet wherever their files lie; a place in the
+staged table breaks ties, so a route that many documents share is spread over tasks, and a task that runs again finds the same
+order. Up to ``SHARD`` bytes in that order are one shard with its own BM25 inverted index over all distinct ids. Within a
+shard a seed starts a window, its unused BM25 neighbours fill it, and the document that meets the window's end is cut there and
+becomes the next seed. What is left at a shard's end is cut at powers of two, which need no padding.
+
+Null text is empty and yields the end id alone; a very long one is cut into as many pieces as it needs. Null ids and repeated
+rows are packed like any other row; ties go to the earlier row of the order. An empty table gives no pieces. Only the id and
+the text are read, so further columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,8 +29,10 @@ from ratingloom.llm.tables import ragged, text_bytes, tidy
 from ratingloom.staging import Workspace
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-TERMS, K1, B = 16, 1.2, 0.75
-SHARD = 1 << 22  # bytes of 16-bit ids
+ROUTE, K1, B = 4, 1.2, 0.75
+SHARD = 1 << 20  # bytes of 16-bit ids
+SHARD_ROWS = 1 << 16  # rows whose number fits beside an id
+TASK = 1 << 26  # bytes of ids that a task sorts
 
 
 def encoded_documents(docs: DataFrame, path: str, end_id: int, leaf_chars: int = LEAF_CHARS) -> DataFrame:
@@ -80,31 +85,43 @@ def document_frequencies(encoded: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def routes(ids: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The ``ROUTE`` rarest shared ids of each document, the rarest in the highest bits.
+
+    ``rank`` has an id's place by document frequency, and the highest value for an id that fewer than two documents have.
+    """
+    pairs = _distinct_terms(rank[ids], offsets)[0]
+    row = pairs >> np.uint32(16)
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    best = np.full((len(offsets) - 1, ROUTE), 0xFFFF, np.uint64)
+    few = nth < ROUTE
+    best[row[few], nth[few]] = pairs[few] & np.uint32(0xFFFF)
+    key = np.zeros(len(best), np.uint64)
+    for n in range(ROUTE):
+        key = key << np.uint64(16) | best[:, n]
+    return key
+
+
 class Shard:
-    """A BM25 index of the documents of one batch."""
+    """A BM25 index of the documents of one shard."""
 
     def __init__(self, ids: np.ndarray, offsets: np.ndarray, idf: np.ndarray, mean_length: float) -> None:
         lengths = np.diff(offsets)
         pairs, tf = _distinct_terms(ids, offsets)
-        self.n, term, row = len(lengths), pairs & np.uint32(0xFFFF), (pairs >> np.uint32(16)).astype(np.int64)
+        self.n, self.terms, row = len(lengths), pairs & np.uint32(0xFFFF), (pairs >> np.uint32(16)).astype(np.int64)
         norm = K1 * (1 - B + B * lengths[row] / max(mean_length, 1.0))
-        weight = (idf[term] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
-        first = np.searchsorted(row, np.arange(self.n + 1))
-        self.queries = []
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            best = idf[term[a:b]]
-            self.queries.append(term[a:b][np.argpartition(-best, TERMS)[:TERMS]] if b - a > TERMS else term[a:b])
-        order = np.argsort(term, kind="stable")
+        weight = (idf[self.terms] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
+        self.of = np.searchsorted(row, np.arange(self.n + 1))
+        order = np.argsort(self.terms, kind="stable")
         self.rows, self.weights = row[order], weight[order]
-        self.first = np.searchsorted(term[order], np.arange((1 << 16) + 1))
+        self.first = np.searchsorted(self.terms[order], np.arange((1 << 16) + 1))
 
     def neighbours(self, row: int, unused: np.ndarray) -> np.ndarray:
-        """Unused rows that share one of the seed's rarest terms, best first, ties to the earlier row."""
-        query = self.queries[row]
-        at = ragged(self.first[query], self.first[query.astype(np.int64) + 1] - self.first[query])
-        rows = self.rows[at]
-        scores = np.bincount(rows, self.weights[at], self.n)
-        found = np.unique(rows[unused[rows]])
+        """Unused rows that share an id with the seed, best first, ties to the earlier row."""
+        query = self.terms[self.of[row] : self.of[row + 1]].astype(np.int64)
+        at = ragged(self.first[query], self.first[query + 1] - self.first[query])
+        scores = np.bincount(self.rows[at], self.weights[at], self.n)
+        found = np.flatnonzero(unused & (scores > 0))
         return found[np.argsort(-scores[found], kind="stable")]
 
 
@@ -139,25 +156,54 @@ def _fill(ids: np.ndarray, offsets: np.ndarray, index: Shard, window: int) -> It
             size = window if left >= window else 0
 
 
+def _shards_of(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most ``SHARD`` bytes, or of one longer row, and at most ``SHARD_ROWS`` rows."""
+    for a, b in slices(bounds, SHARD):
+        for c in range(a, b, SHARD_ROWS):
+            yield c, min(c + SHARD_ROWS, b)
+
+
 def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, space: Workspace | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """Pieces of all documents; ``ids`` holds unsigned little-endian 32-bit integers."""
     if window & (window - 1):
         raise ValueError("the window must be a power of two")
     space = space or Workspace(docs.sparkSession)
     encoded = space.spark.read.parquet(space.write(encoded_documents(docs, path, end_id, leaf_chars), "encoded", compression="zstd"))
-    rows = encoded.where("ids IS NOT NULL").select("doc_id", "ids")
+    own = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("own")
+    rows = encoded.where("ids IS NOT NULL").select("doc_id", "ids", own)
     n_docs, n_bytes = rows.agg(F.count("ids"), F.sum(F.octet_length("ids"))).first()
     size = tokenizer(path).get_vocab_size(with_added_tokens=True)
-    idf = np.full(1 << 16, np.log1p(2.0 * n_docs + 1.0), np.float32)
+    shared = np.zeros(1 << 16, np.int64)
     for found in document_frequencies(encoded).collect():  # at most one row per id of the vocabulary
-        idf[found["id"]] = np.log1p((n_docs - found["n"] + 0.5) / (found["n"] + 0.5))
+        shared[found["id"]] = found["n"]
+    idf = np.log1p((n_docs - shared + 0.5) / (shared + 0.5)).astype(np.float32)
     idf[size:] = 0
-    mean_length = (n_bytes or 0) / 2 / max(n_docs, 1)
+    rank = np.full(1 << 16, 0xFFFF, np.uint16)
+    common = np.flatnonzero(shared > 1)
+    rank[common[np.argsort(shared[common], kind="stable")]] = np.arange(len(common))
+    n_bytes = n_bytes or 0
+    mean_length = n_bytes / 2 / max(n_docs, 1)
+    slots = 2 * space.spark.sparkContext.defaultParallelism
+    tasks = max(1, -(-n_bytes // TASK), min(slots, -(-n_bytes // (4 * SHARD))))
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                data, bounds = text_bytes(batch.column(1))
+                ids, found = np.frombuffer(data.tobytes(), np.uint16), []
+                for a in range(0, batch.num_rows, SHARD_ROWS):
+                    part = bounds[a : a + SHARD_ROWS + 1] // 2
+                    found.append(routes(ids[part[0] : part[-1]], part - part[0], rank))
+                route = pa.array(np.concatenate(found).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*batch.columns, route], ["doc_id", "ids", "own", "route"])
+
+    rows = rows.mapInArrow(routed, "doc_id long, ids binary, own long, route long")
+    rows = rows.repartitionByRange(tasks, "route", "own").sortWithinPartitions("route", "own").select("doc_id", "ids")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for a, b in slices(text_bytes(batch.column(1))[1], SHARD):
+            for a, b in _shards_of(text_bytes(batch.column(1))[1]):
                 part = batch.slice(a, b - a)
                 data, bounds = text_bytes(part.column(1))
                 ids, offsets = np.frombuffer(data.tobytes(), np.uint16), bounds // 2
