@@ -186,7 +186,9 @@ def read_archives(spark: SparkSession, folder: str, split_bytes: int = SPLIT, pa
                 yield _batch(waiting, fields)
 
     schema = ", ".join(f"{name} {kind}" for name, kind, _ in fields)
-    return ranges.repartition("path", "start").mapInArrow(scan, schema)
+    n_ranges = files.agg(F.sum(F.ceil(F.col("length") / split_bytes))).first()[0] or 1
+    tasks = min(int(n_ranges), 16 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return ranges.repartitionByRange(tasks, "path", "start").mapInArrow(scan, schema)
 
 
 def _batch(rows: list[dict], fields: list) -> pa.RecordBatch:
