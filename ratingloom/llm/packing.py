@@ -92,7 +92,7 @@ def routes(ids: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> np.ndarray
     """
     pairs = _distinct_terms(rank[ids], offsets)[0]
     row = pairs >> np.uint32(16)
-    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    nth = np.arange(len(row)) - np.searchsorted(row, np.arange(len(offsets) - 1))[row]
     best = np.full((len(offsets) - 1, ROUTE), 0xFFFF, np.uint64)
     few = nth < ROUTE
     best[row[few], nth[few]] = pairs[few] & np.uint32(0xFFFF)
