@@ -32,6 +32,7 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 ROUTE, K1, B = 4, 1.2, 0.75
 SHARD = 1 << 20  # bytes of 16-bit ids
 SHARD_ROWS = 1 << 16  # rows whose number fits beside an id
+DENSE = 16  # an id is common in a shard if one in so many documents has it
 TASK = 1 << 26  # bytes of ids that a task sorts
 
 
@@ -103,7 +104,11 @@ def routes(ids: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> np.ndarray
 
 
 class Shard:
-    """A BM25 index of the documents of one shard."""
+    """A BM25 index of the documents of one shard.
+
+    An id that at least one in ``DENSE`` documents has gets a row with a weight for every document, which is added as a whole;
+    there are at most ``DENSE`` times as many such weights as postings. Other ids have postings.
+    """
 
     def __init__(self, ids: np.ndarray, offsets: np.ndarray, idf: np.ndarray, mean_length: float) -> None:
         lengths = np.diff(offsets)
@@ -112,7 +117,15 @@ class Shard:
         norm = K1 * (1 - B + B * lengths[row] / max(mean_length, 1.0))
         weight = (idf[self.terms] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
         self.of = np.searchsorted(row, np.arange(self.n + 1))
-        order = np.argsort(self.terms, kind="stable")
+        many = np.bincount(self.terms, minlength=1 << 16) * DENSE >= max(self.n, 1)
+        common = np.flatnonzero(many)
+        self.place = np.full(1 << 16, -1, np.int64)
+        self.place[common] = np.arange(len(common))
+        here = many[self.terms]
+        self.dense = np.zeros((len(common), self.n), np.float32)
+        self.dense[self.place[self.terms[here]], row[here]] = weight[here]
+        rest = np.flatnonzero(~here)
+        order = rest[np.argsort(self.terms[rest], kind="stable")]
         self.rows, self.weights = row[order], weight[order]
         self.first = np.searchsorted(self.terms[order], np.arange((1 << 16) + 1))
 
@@ -121,6 +134,7 @@ class Shard:
         query = self.terms[self.of[row] : self.of[row + 1]].astype(np.int64)
         at = ragged(self.first[query], self.first[query + 1] - self.first[query])
         scores = np.bincount(self.rows[at], self.weights[at], self.n)
+        scores = scores + self.dense[self.place[query[self.place[query] >= 0]]].sum(axis=0)
         found = np.flatnonzero(unused & (scores > 0))
         return found[np.argsort(-scores[found], kind="stable")]
 
