@@ -323,6 +323,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "exact_cf_touched": lambda s, d: _scored(exact_cf(*_split(s, d), plan="touched")),
         "exact_cf_wanted_pairs": lambda s, d: _scored(exact_cf(*_split(s, d), plan="pairs")),
         "group_cf": _group_cf,
+        "kmeans_parallel_start": lambda s, d: item_clusters(
+            _split(s, d)[0], oracles.PARALLEL_K, max_iter=oracles.PARALLEL_ITERATIONS, start="parallel"
+        ),
         "cluster_cf": lambda s, d: _scored(cluster_cf(*_split(s, d), max_iter=oracles.KMEANS_ROUNDS)),
         "lsh_cf": _lsh_cf,
         "experiment_summary_lsh": lambda s, d: _experiment_summary(s, d, "lsh", **_LSH),

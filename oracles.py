@@ -21,6 +21,8 @@ SEED = 42
 COPY = 1_000_000
 OVERLAP = "is_test OR (userId + itemId) % 7 = 0"
 KMEANS_ROUNDS = 20
+PARALLEL_K = 12
+PARALLEL_ITERATIONS = 3
 
 
 def ratings(item: str = "l_partkey", test: str = "is_test", copies: bool = False) -> str:
@@ -133,16 +135,57 @@ DENSE_ENTRIES = """entries AS MATERIALIZED (
 norms AS (SELECT vec_id, sqrt(sum(value * value)) AS norm FROM entries GROUP BY vec_id)"""
 
 
-def clusters(rounds: int = KMEANS_ROUNDS, seed: int = SEED) -> str:
-    """KMeans unrolled: centres of an assignment, then the nearest centre of every item."""
-    parts = [
-        f"""draws AS (
+def parallel_start(k: int, rounds: int, seed: int = SEED) -> str:
+    """An oversampled start unrolled: rounds of draws by squared distance, then the candidates reduced by doubling."""
+    parts = ["firsts AS MATERIALIZED (SELECT min(item) AS item, CAST(count(*) AS BIGINT) AS copies FROM items GROUP BY v)"]
+
+    def drawn(name: str, rows: str, rate: str, n: int, salt: int, so_far: str | None, have: int) -> None:
+        more = f"""SELECT item, {have} + row_number() OVER (ORDER BY -ln({uniform('item', salt)}) / rate, item) - 1 AS cluster
+  FROM (SELECT item, {rate} AS rate FROM {rows}) WHERE rate > 0 QUALIFY cluster < {have + n}"""
+        parts.append(f"{name} AS MATERIALIZED ({'SELECT * FROM ' + so_far + ' UNION ALL ' if so_far else ''}{more})")
+
+    def measured(name: str, pool: str, chosen: str) -> None:
+        step = "CAST(floor((2.0 - 2.0 * {}) / 1e-9 + 0.5) AS BIGINT)".format
+        parts.append(f"""{name} AS MATERIALIZED (
+  SELECT item, any_value(copies) AS copies, greatest(min(offer) // 65536, 0) AS steps, min(offer) % 65536 AS cluster FROM (
+    SELECT a.item, p.copies, {step('sum(a.weight * b.weight)')} * 65536 + cluster AS offer
+    FROM {pool} p JOIN weights a ON a.item = p.item JOIN weights b ON b.userId = a.userId JOIN {chosen} c ON c.item = b.item
+    GROUP BY a.item, p.copies, cluster
+    UNION ALL SELECT item, copies, {step('0.0')} * 65536 FROM {pool})
+  GROUP BY item)""")
+
+    have = 1
+    drawn("s0", "firsts", "copies", 1, seed, None, 0)
+    for r in range(rounds):
+        measured(f"g{r}", "firsts", f"s{r}")
+        drawn(f"s{r + 1}", f"g{r}", "copies * steps", 2 * k, seed + 1 + r, f"s{r}", have)
+        have += 2 * k
+    measured("loads", "firsts", f"s{rounds}")
+    parts.append(f"""pool AS MATERIALIZED (
+  SELECT s{rounds}.item, copies FROM s{rounds} JOIN (SELECT cluster, sum(copies) AS copies FROM loads GROUP BY cluster) USING (cluster))""")
+    drawn("c1", "pool", "copies", 1, seed + 1 + rounds, None, 0)
+    have = 1
+    while have < k:
+        more = min(have, k - have)
+        measured(f"h{have}", "pool", f"c{have}")
+        drawn(f"c{have + more}", f"h{have}", "copies * steps", more, seed + 1 + rounds + have, f"c{have}", have)
+        have += more
+    parts.append(f"a0 AS MATERIALIZED (SELECT item, cluster FROM c{k})")
+    return ",\n".join(parts)
+
+
+def weighted_start(seed: int = SEED) -> str:
+    return f"""draws AS (
   SELECT item, row_number() OVER (ORDER BY -ln({uniform('item', seed)}) / n, item) - 1 AS cluster
   FROM (SELECT min(item) AS item, max(n_raters) * count(*) AS n FROM items GROUP BY v)),
 a0 AS MATERIALIZED (
   SELECT item, cluster FROM draws
   WHERE cluster < (SELECT greatest(10, least(100, floor(sqrt(count(*))))) FROM items))"""
-    ]
+
+
+def clusters(rounds: int = KMEANS_ROUNDS, seed: int = SEED, start: str | None = None) -> str:
+    """KMeans unrolled: centres of an assignment, then the nearest centre of every item."""
+    parts = [start or weighted_start(seed)]
     for r in range(rounds):
         step = "CAST(floor((1.0 + norm2 - 2.0 * {dot}) / 1e-9 + 0.5) AS BIGINT) * 65536 + cluster"
         parts.append(
@@ -288,6 +331,12 @@ FROM neighbors""",
             clusters(),
             final="SELECT item AS itemId, cluster FROM clusters",
         ),
+        "kmeans_parallel_start": with_(
+            base,
+            items(),
+            clusters(PARALLEL_ITERATIONS, start=parallel_start(PARALLEL_K, 2)),
+            final="SELECT item AS itemId, cluster FROM clusters",
+        ),
         "cluster_cf": with_(*cluster, final=SCORED),
         "lsh_cf": with_(*lsh, final=SCORED),
         "experiment_summary": with_(*exact, final=summary("Cosine (exact)")),

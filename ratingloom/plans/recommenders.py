@@ -65,10 +65,12 @@ def exact_cf(
     return group_cf(train, test, None, heavy_items, block_items, space, plan)
 
 
-def item_clusters(train: DataFrame, k: int | None = None, seed: int = 42, max_iter: int = 20) -> DataFrame:
+def item_clusters(
+    train: DataFrame, k: int | None = None, seed: int = 42, max_iter: int = 20, start: str = "weighted"
+) -> DataFrame:
     """``itemId, cluster`` by KMeans on the unit vectors of the items."""
     facts, rated = _prepare(train)
-    clusters = kmeans_item_clusters(leader_weights(rated), k or cluster_count(facts), seed, max_iter)
+    clusters = kmeans_item_clusters(leader_weights(rated), k or cluster_count(facts), seed, max_iter, start=start)
     return facts.join(clusters, "leader").select("itemId", "cluster")
 
 

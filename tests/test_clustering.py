@@ -64,9 +64,43 @@ def test_cost_is_as_good_as_the_library_one(spark, clustered):
     assert cost_and_centres(vectors, labels)[0] <= 1.05 * cost_and_centres(vectors, theirs)[0]
 
 
-def test_fewer_distinct_vectors_than_clusters(spark):
+def test_parallel_start_costs_no_more_than_the_library(spark, split):
+    weights = leader_weights(with_facts(split[0], item_facts(split[0])))
+    vectors = vectors_of(weights)
+    labels = {r["leader"]: r["cluster"] for r in kmeans_item_clusters(weights, 10, start="parallel").collect()}
+    size = max(u for v in vectors.values() for u in v) + 1
+    df = spark.createDataFrame([(i, Vectors.sparse(size, sorted(v.items()))) for i, v in vectors.items()], ["leader", "features"])
+    theirs = {r["leader"]: r["prediction"] for r in KMeans(k=10, seed=42).fit(df).transform(df).collect()}
+    assert cost_and_centres(vectors, labels)[0] <= 1.02 * cost_and_centres(vectors, theirs)[0]
+
+
+def test_parallel_start_separates_more_far_groups(spark):
+    # Eight groups without a common user; the first holds 120 of 141 items. Items of a group differ in one rating.
+    sizes = [120, 3, 3, 3, 3, 3, 3, 3]
+    items = [(group, n) for group, size in enumerate(sizes) for n in range(size)]
+    rows = [
+        (group * 4 + u, 1000 * group + n, 5.0 if u < 3 else 0.5 + 0.001 * n) for group, n in items for u in range(4)
+    ]
+    ratings = spark.createDataFrame(rows, RATINGS)
+
+    def alone(start):
+        """Groups that share no cluster with another one."""
+        found = item_clusters(ratings, k=8, max_iter=1, start=start).collect()
+        assert len(found) == len(items)
+        groups = defaultdict(set)
+        for r in found:
+            groups[r["cluster"]].add(r["itemId"] // 1000)
+        shared = {g for members in groups.values() if len(members) > 1 for g in members}
+        return len(sizes) - len(shared)
+
+    # Draws of one doubling do not see each other, so a group may be missed, but far fewer than by one draw of items.
+    assert alone("parallel") >= 6 > alone("weighted")
+
+
+@pytest.mark.parametrize("start", ["weighted", "parallel"])
+def test_fewer_distinct_vectors_than_clusters(spark, start):
     rows = [(u, i, 3.0) for i in range(6) for u in ([0, 1] if i % 2 else [2, 3])]
-    found = item_clusters(spark.createDataFrame(rows, RATINGS), k=5).collect()
+    found = item_clusters(spark.createDataFrame(rows, RATINGS), k=5, start=start).collect()
     assert len(found) == 6
     assert len({r["cluster"] for r in found}) == 2
     assert len({r["cluster"] for r in found if r["itemId"] % 2}) == 1
@@ -84,3 +118,8 @@ def test_cluster_predictions_are_group_predictions(split):
 def test_bad_cluster_counts(spark):
     with pytest.raises(ValueError):
         kmeans_item_clusters(spark.createDataFrame([], "leader long, userId long, weight double, n_raters long"), 0)
+    some = spark.createDataFrame([(1, 1, 1.0, 1, 1)], "leader long, userId long, weight double, n_raters long, copies long")
+    with pytest.raises(ValueError):
+        kmeans_item_clusters(some, 1, start="unknown")
+    with pytest.raises(ValueError):
+        kmeans_item_clusters(some, 20_000, start="parallel")
