@@ -7,10 +7,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from brute_force import predictions, scored_map
-from ratingloom.operators import prediction
+from brute_force import by_item, cosine, predictions, scored_map
+from ratingloom.operators import prediction, similarity
 from ratingloom.operators.items import item_facts, leader_weights, owned_ratings, with_facts
-from ratingloom.operators.prediction import all_neighbor_sums, predict_ratings, targets_of
+from ratingloom.operators.prediction import all_neighbor_sums, neighbor_ratings, predict_ratings, targets_of
+from ratingloom.operators.similarity import item_cosine, packed_pairs, pair_cosines, similar_pairs, symmetric_similarities
 from ratingloom.plans.recommenders import exact_cf
 from ratingloom.schema import RATINGS
 from test_skew import skewed_rows
@@ -47,3 +48,59 @@ def test_a_full_test_side_shuffles_no_row_per_pair(spark):
     sums = all_neighbor_sums(targets_of(test, facts, train), leader_weights(rated), owned_ratings(rated))
     assert not [key for key in shuffle_keys(sums) if "other#" in key or "a_leader#" in key]
     assert predict_ratings(sums).count() > 0
+
+
+def pairs_of(df):
+    rows = df.collect()
+    found = {(r["i"], r["j"]): round(r["cosine_sim"], 9) for r in rows}
+    assert len(found) == len(rows)
+    return found
+
+
+def cosines(train):
+    vectors = by_item(train)
+    found = {(i, j): cosine(vectors[i], vectors[j]) for i in vectors for j in vectors if i < j}
+    return {pair: round(s, 9) for pair, s in found.items() if s > 0}
+
+
+@pytest.mark.parametrize("far", [0, 2**33])
+@pytest.mark.parametrize(("reach", "block"), [(1 << 21, 1024), (20, 4)])
+def test_packed_pairs(spark, monkeypatch, far, reach, block):
+    monkeypatch.setattr(similarity, "REACH", reach)
+    train = [(u, i + far * (i % 2), r) for u, i, r in skewed_rows(6)[0]]
+    df, want = spark.createDataFrame(train, RATINGS), cosines(train)
+    weights = leader_weights(with_facts(df, item_facts(df)))
+    leaders = {r[0] for r in weights.select("leader").distinct().collect()}
+    among = {pair: s for pair, s in want.items() if leaders >= set(pair)}
+    found = pair_cosines(weights, block_items=block)
+    assert pairs_of(found) == among
+    assert not [key for key in shuffle_keys(found) if "j#" in key or "b_leader#" in key]
+    assert pairs_of(item_cosine(df)) == want
+    some = weights.where("leader % 3 = 0")
+    both = among | {(j, i): s for (i, j), s in among.items()}
+    directed = pairs_of(packed_pairs(some, weights, block_items=block))
+    assert directed == {pair: s for pair, s in both.items() if pair[0] % 3 == 0}
+
+
+def test_candidates_that_are_most_pairs_are_not_looked_up(spark, monkeypatch):
+    train = skewed_rows(7)[0]
+    df = spark.createDataFrame(train, RATINGS)
+    weights = leader_weights(with_facts(df, item_facts(df))).cache()
+    monkeypatch.setattr(similarity, "exact_cosines", None)
+    leaders = {r[0] for r in weights.select("leader").distinct().collect()}
+    want = {pair: s for pair, s in cosines(train).items() if s > 0.2 and leaders >= set(pair)}
+    assert pairs_of(similar_pairs(weights, 0.2, block_items=4, prune_above=2)) == want
+
+
+def test_neighbours_are_met_inside_the_group(spark):
+    train, test = skewed_rows(8)
+    train, test = spark.createDataFrame(train, RATINGS), spark.createDataFrame(test, RATINGS)
+    facts = item_facts(train, train.select("itemId", (F.col("itemId") % 5).alias("grp")).distinct())
+    rated = with_facts(train, facts)
+    near = symmetric_similarities(pair_cosines(leader_weights(rated), ["grp"]))
+    targets = targets_of(test, facts, train)
+    columns = ["userId", "leader", "itemId", "rating"]
+    found = neighbor_ratings(targets, near, rated.select("grp", *columns), 10**6)
+    assert re.search(r"\(grp#\d+L? = grp#\d+L?\)", found._jdf.queryExecution().optimizedPlan().toString())
+    whole = neighbor_ratings(targets, near, rated.select(*columns), 10**6)
+    assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect())) != []
