@@ -104,3 +104,12 @@ def test_neighbours_are_met_inside_the_group(spark):
     assert re.search(r"\(grp#\d+L? = grp#\d+L?\)", found._jdf.queryExecution().optimizedPlan().toString())
     whole = neighbor_ratings(targets, near, rated.select(*columns), 10**6)
     assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect())) != []
+
+
+def test_a_missing_rating_loses_no_pair(spark, monkeypatch):
+    train = skewed_rows(9)[0]
+    df = spark.createDataFrame(train + [(50, item, None) for item in range(0, 60, 4)], "userId long, itemId long, rating double")
+    weights = leader_weights(with_facts(df, item_facts(df))).cache()
+    plain = pairs_of(similar_pairs(weights, 0.3))
+    monkeypatch.setattr(similarity, "PRUNED", 0)
+    assert pairs_of(similar_pairs(weights, 0.3, block_items=4, prune_above=2)) == plain != {}
