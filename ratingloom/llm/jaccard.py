@@ -14,7 +14,7 @@ the shingles.
   a family of copies is one however many chunks it shares. No group is expanded into pairs: each member is first
   compared with the one that is in most groups, as a text is that the others were made from. Where the members of a
   group then lie in several components, those outside the most frequent one ask that whole component for a link,
-  once however many groups they share with it; what is still apart is compared within the group.
+  once however many groups they share with it; what is still apart is compared with all that asked in the group.
 
 A-Z are lower-cased; words are runs of anything but space and 9-13. With fewer words than ``WORDS`` the whole sequence is the
 one shingle; null and blank texts have an empty set and no links. Repeated rows are of one class. Rows without id
@@ -416,32 +416,35 @@ def _asked(
 
 
 def _remaining(open_members: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components within groups that sketches allow, among the members outside the most frequent one.
+    """Pairs of different components within groups that sketches allow, among ``open_members``: those that have asked.
 
-    Small groups are joined with themselves; those of large ones are sent to every block of ``BLOCK`` of them.
+    A member that is still ``apart`` from the component it asked is compared with all of them, for one that has joined that
+    component by asking was not in it when the others asked. Small groups are joined with themselves; those of large ones are sent to every block of ``BLOCK`` of them.
     """
-    side = lambda x: F.struct("ref", "root").alias(x)
-    apart = open_members.where("root <> inside").drop("n")
-    open_members = apart.join(apart.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "grp")
+    side = lambda x: F.struct("ref", "root", "apart").alias(x)
+    asked = open_members.withColumn("apart", F.col("root") != F.col("inside")).drop("n")
+    sizes = asked.groupBy("grp").agg(F.count("*").alias("n"), F.count_if("apart").alias("n_apart"))
+    open_members = asked.join(sizes.where("n > 1 AND n_apart > 0"), "grp")
     few = open_members.where(f"n <= {SMALL}")
-    small = few.select("grp", side("x")).join(few.select("grp", side("y")), "grp").where("x.ref < y.ref AND x.root <> y.root")
+    small = few.select("grp", side("x")).join(few.select("grp", side("y")), "grp")
+    small = small.where("x.apart AND (NOT y.apart OR x.ref < y.ref) AND x.root <> y.root")
     small = _near(_ordered(small.select(F.col("x.ref").alias("a"), F.col("y.ref").alias("b"))), classes, num, den).select("a", "b")
 
     many = open_members.where(f"n > {SMALL}").join(classes.select("ref", "size", "sketch"), "ref")
     many = many.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     mine = F.pmod(F.xxhash64("ref"), F.col("blocks")).cast("int")
-    row = ["grp", "block", "asks", "ref", "root", "size", "sketch"]
+    row = ["grp", "block", "asks", "ref", "root", "apart", "size", "sketch"]
     held = many.withColumns({"block": mine, "asks": F.lit(False)}).select(*row)
-    asking = many.withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "asks": F.lit(True)})
+    asking = many.where("apart").withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "asks": F.lit(True)})
 
     def compare(found: pa.Table) -> pa.Table:
-        asks, ref, root, size = (np.array(found.column(c)) for c in ("asks", "ref", "root", "size"))
+        asks, ref, root, apart, size = (np.array(found.column(c)) for c in ("asks", "ref", "root", "apart", "size"))
         raw = [np.frombuffer(s, np.uint8) for s in found.column("sketch").to_pylist()]
         width = min(map(len, raw))
         table = np.stack([_folded(s, width) for s in raw])
         held, a, b = np.flatnonzero(~asks), [], []
         for i in np.flatnonzero(asks).tolist():
-            j = held[(root[held] != root[i]) & (ref[held] > ref[i])]
+            j = held[(root[held] != root[i]) & (~apart[held] | (ref[held] > ref[i]))]
             j = j[(size[j] * den >= size[i] * num) & (size[i] * den >= size[j] * num)]
             far = np.bitwise_count(table[j] ^ table[i]).sum(1, dtype=np.int64)
             j = j[far * (den + num) <= (size[i] + size[j]) * (den - num)]
@@ -505,7 +508,7 @@ def similar_documents(
     if not open_members.isEmpty():
         edges = space.stage(edges.unionByName(_asked(open_members, roots, texts, docs, classes, num, den, space)), "links")
         roots = space.stage(components(edges, space), "roots")
-        known = open_members.drop("root").withColumnRenamed("inside", "old")
+        known = open_members.where("root <> inside").drop("root").withColumnRenamed("inside", "old")
         moved = roots.withColumnRenamed("node", "ref")
         now = known.join(moved, "ref", "left").withColumn("root", F.coalesce("root", "ref"))
         # The component that was asked is known by its new root.
