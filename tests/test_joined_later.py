@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pytest
+
 from ratingloom.llm import jaccard
 
 PREFIX = [f"c{k}" for k in range(20)]
@@ -45,10 +48,17 @@ def test_no_link_is_left_out(spark):
     docs = documents(5, 120)
     table = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(docs)], "doc_id long, text string")
     want = smallest_reached(docs)
-    for small in (jaccard.SMALL, 1):
-        before, jaccard.SMALL = jaccard.SMALL, small
-        try:
-            found = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(table).collect()}
-        finally:
-            jaccard.SMALL = before
-        assert found == want
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(table).collect()}
+    assert found == want
+
+
+@pytest.mark.parametrize("small", [24, 1])
+def test_one_apart_meets_one_that_joined(spark, monkeypatch, small):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    sketch = jaccard.sketch(np.arange(20, dtype=np.uint64))
+    classes = spark.createDataFrame([(ref, 20, sketch) for ref in (4, 7, 9)], "ref long, size long, sketch binary")
+    # Of the members that asked component 1, 4 and 9 have joined it and 7 is still apart.
+    asked = [(5, 4, 1, 1, 4), (5, 7, 1, 7, 4), (5, 9, 1, 1, 4)]
+    members = spark.createDataFrame(asked, "grp long, ref long, inside long, root long, n long")
+    found = jaccard._remaining(members, classes, 3, 4).collect()
+    assert sorted((r["a"], r["b"]) for r in found) == [(4, 7), (7, 9)]
