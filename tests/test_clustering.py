@@ -1,17 +1,21 @@
 from __future__ import annotations
 
+import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.linalg import Vectors
 
 import __spark_entry__ as entry
+from ratingloom.operators import clustering
 from ratingloom.operators.clustering import kmeans_item_clusters
 from ratingloom.operators.items import item_facts, leader_weights, with_facts
 from ratingloom.operators.split import hash_split
 from ratingloom.plans.recommenders import cluster_cf, group_cf, item_clusters
 from ratingloom.schema import RATINGS
+from ratingloom.staging import Workspace
 
 
 def vectors_of(weights):
@@ -115,6 +119,32 @@ def test_cluster_predictions_are_group_predictions(split):
     assert [r[3] for r in by_cluster] == pytest.approx([r[3] for r in by_group])
 
 
+def test_a_round_reads_no_more_than_what_moved(spark, tmp_path, monkeypatch):
+    draws = random.Random(7)
+    rows = [(u, i, draws.randint(1, 10) / 2) for i in range(400) for u in draws.sample(range(150), 6)]
+    ratings = spark.createDataFrame(rows, RATINGS)
+    weights = leader_weights(with_facts(ratings, item_facts(ratings)))
+    monkeypatch.setattr(clustering, "remove_path", lambda spark, path: None)
+    space = Workspace(spark, str(tmp_path))
+    found = kmeans_item_clusters(weights, 6, space=space).collect()
+    assert len(found) == len({r["leader"] for r in found}) == 400
+    written = [spark.read.parquet(str(path.parent)) for path in sorted(Path(space.root).rglob("_SUCCESS"))]
+    by_user = [df.count() for df in written if "userId" in df.columns]
+    assert len(by_user) > 3 and by_user[-1] < max(by_user) / 4
+
+
+def test_moving_back_and_forth_leaves_no_products(spark):
+    weights = spark.createDataFrame([(1, 1, 0.6), (1, 2, 0.8), (2, 1, 1.0), (3, 2, 1.0)], "leader long, userId long, weight double")
+    state = spark.createDataFrame([(i, 1, None, i % 2, True) for i in (1, 2, 3)], "leader long, copies int, before int, cluster int, moved boolean")
+    dots = clustering.cluster_dots(weights, clustering.user_sums(weights, clustering.moves(state)), None)
+    there = {(r["leader"], r["cluster"]): r["dot"] for r in dots.collect()}
+    assert there == {(1, 1): pytest.approx(1.8), (1, 0): pytest.approx(0.6), (2, 1): pytest.approx(0.6), (2, 0): 1.0, (3, 1): pytest.approx(1.8)}
+    back = state.selectExpr("leader", "copies", "cluster AS before", "1 - cluster AS cluster", "moved")
+    again = clustering.cluster_dots(weights, clustering.user_sums(weights, clustering.moves(back)), dots)
+    swapped = {(r["leader"], 1 - r["cluster"]): pytest.approx(r["dot"]) for r in again.collect()}
+    assert swapped == there
+
+
 def test_bad_cluster_counts(spark):
     with pytest.raises(ValueError):
         kmeans_item_clusters(spark.createDataFrame([], "leader long, userId long, weight double, n_raters long"), 0)
