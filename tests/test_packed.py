@@ -113,3 +113,17 @@ def test_a_missing_rating_loses_no_pair(spark, monkeypatch):
     plain = pairs_of(similar_pairs(weights, 0.3))
     monkeypatch.setattr(similarity, "PRUNED", 0)
     assert pairs_of(similar_pairs(weights, 0.3, block_items=4, prune_above=2)) == plain != {}
+
+
+@pytest.mark.parametrize("most", [1024, 3])
+def test_wanted_pairs_by_lists(spark, monkeypatch, most):
+    def look_up(pairs, weights):
+        assert most == 3, "pairs of ordinary items are looked up rater by rater"
+        return similarity.exact_cosines(pairs, weights)
+
+    monkeypatch.setattr(prediction, "LIST_RATERS", most)
+    monkeypatch.setattr(prediction, "exact_cosines", look_up)
+    train, test = skewed_rows(5)
+    test += train[::9]
+    found = exact_cf(spark.createDataFrame(train, RATINGS), spark.createDataFrame(test, RATINGS), plan="pairs")
+    assert scored_map(found) == predictions(train, test)
