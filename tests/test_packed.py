@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brute_force import by_item, cosine, predictions, scored_map
-from ratingloom.operators import prediction, similarity
+from ratingloom.operators import lsh, prediction, similarity
 from ratingloom.operators.items import item_facts, leader_weights, owned_ratings, with_facts
 from ratingloom.operators.prediction import all_neighbor_sums, neighbor_ratings, predict_ratings, targets_of
 from ratingloom.operators.similarity import item_cosine, packed_pairs, pair_cosines, similar_pairs, symmetric_similarities
@@ -127,3 +127,17 @@ def test_wanted_pairs_by_lists(spark, monkeypatch, most):
     test += train[::9]
     found = exact_cf(spark.createDataFrame(train, RATINGS), spark.createDataFrame(test, RATINGS), plan="pairs")
     assert scored_map(found) == predictions(train, test)
+
+
+def test_wide_buckets_form_no_more_than_corated_pairs(spark, monkeypatch):
+    def refuse(*args):
+        raise AssertionError("all items of a bucket meet")
+
+    # Sixty groups of items without a common user, in buckets as wide as a sign.
+    rows = [(3 * group + u, 4 * group + n, 0.5 + (group * n + u) % 9 / 2) for group in range(60) for n in range(4) for u in range(3)]
+    train = spark.createDataFrame(rows, RATINGS)
+    weights = leader_weights(with_facts(train, item_facts(train)))
+    wanted = pairs_of(lsh.lsh_similarity_join(weights, 1.25, 1.5, 8, plan="raters").withColumnRenamed("distance", "cosine_sim"))
+    monkeypatch.setattr(lsh, "bucket_pairs", refuse)
+    found = lsh.lsh_similarity_join(weights, 1.25, 1.5, 8, plan="buckets")
+    assert pairs_of(found.withColumnRenamed("distance", "cosine_sim")) == wanted and len(wanted) > 200
