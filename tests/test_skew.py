@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brute_force import by_item, cosine, predictions, scored_map
+from ratingloom.operators import lsh
 from ratingloom.operators.items import item_facts, leader_weights, with_facts
 from ratingloom.operators.lsh import bucket_pairs, lsh_item_hashes, lsh_similarity_join
 from ratingloom.operators.pairing import corated
@@ -178,6 +179,36 @@ def test_both_plans_find_the_pairs_of_the_buckets(skewed, plan, block_items, max
         assert any(cosine(vectors[i], vectors[j]) == 0 for i, j in want)
 
 
+@pytest.mark.parametrize("tables, block_items", [(1, 6), (3, 6), (2, 1000)])
+def test_far_pairs_are_named_without_a_row_that_is_shuffled_or_written(spark, monkeypatch, tables, block_items):
+    def refuse(*args):
+        raise AssertionError("all pairs of a bucket are written and measured")
+
+    # Groups of items without a common user, one item everywhere, opposite ratings, and copies.
+    rows = [(3 * group + u, 4 * group + n, 0.5 + (group * n + u) % 9 / 2) for group in range(15) for n in range(4) for u in range(3)]
+    rows += [(u, 500, 1.0 + u % 5) for u in range(45)]
+    rows += [(0, 600, 2.0), (1, 600, -2.0), (0, 601, 3.0), (1, 601, 3.0)]
+    rows += [(7, copy, 4.0) for copy in range(700, 705)]
+    vectors = by_item(rows)
+    train = spark.createDataFrame(rows, RATINGS)
+    facts = item_facts(train)
+    weights = leader_weights(with_facts(train, facts))
+    leader = {r["itemId"]: r["leader"] for r in facts.collect()}
+    mates = bucket_mates(weights, tables, 0.2)
+    want = {}
+    for i in vectors:
+        for j in vectors:
+            if i < j and (leader[i] == leader[j] or tuple(sorted((leader[i], leader[j]))) in mates):
+                distance = max(2 - 2 * cosine(vectors[i], vectors[j]), 0.0) ** 0.5
+                if distance < 1.45:
+                    want[i, j] = round(distance, 6)
+    monkeypatch.setattr(lsh, "bucket_pairs", refuse)
+    found = lsh_similarity_join(weights, 1.45, 0.2, tables, block_items=block_items, facts=facts).collect()
+    assert len(found) == len(want)
+    assert {(r["i"], r["j"]): round(r["distance"], 6) for r in found} == want
+    assert 2 * sum(d == 1.414214 for d in want.values()) > len(want)
+
+
 def test_a_full_bucket_is_cut_without_losing_a_near_pair(spark):
     rng = random.Random(4)
     rows = [(n, [0, 0], [rng.uniform(-1, 1), rng.uniform(-1, 1)]) for n in range(300)]
