@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brute_force import by_item, cosine, predictions, scored_map
 from ratingloom import staging
-from ratingloom.operators import prediction, similarity
+from ratingloom.operators import lsh, prediction, similarity
 from ratingloom.operators.items import item_facts, leader_weights, owned_ratings, with_facts
 from ratingloom.operators.prediction import targets_of, touched_cosines
 from ratingloom.operators.similarity import near_pairs, packed_pairs
@@ -27,7 +27,7 @@ def turns(monkeypatch):
         seen.append(n)
         return staging.in_turns(n, *args)
 
-    for module in (prediction, similarity):
+    for module in (prediction, similarity, lsh):
         monkeypatch.setattr(module, "in_turns", counted)
     return seen
 
@@ -99,3 +99,20 @@ def test_only_wanted_pairs_are_unpacked(spark):
     found = touched_cosines(targets, leader_weights(rated), owned, []).select("target", "leader")
     assert 0 < found.count() <= wanted.count()
     assert found.join(wanted, ["target", "leader"], "left_anti").isEmpty()
+
+
+def test_a_full_bucket_is_sent_to_few_blocks(spark, monkeypatch, turns):
+    monkeypatch.setattr(lsh, "JOINED", 50)
+    rows = [(u, i, 1.0 + (u + i) % 5) for i in range(120) for u in (i % 31, 31 + i % 29)]
+    weights = weights_of(spark, rows).cache()
+
+    def found():
+        return {(r["i"], r["j"], round(r["distance"], 9)) for r in lsh.lsh_similarity_join(weights, 1.45, 5.0, 2, block_items=4).collect()}
+
+    monkeypatch.setattr(lsh, "MOST_BLOCKS", 3)
+    some = found()
+    hashed = lsh.lsh_item_hashes(weights, 5.0, 2)
+    places = lsh.block_places(hashed, 4).select(F.explode("places").alias("at"))
+    assert places.agg(F.max("at.n_blocks")).first()[0] == 3
+    monkeypatch.setattr(lsh, "MOST_BLOCKS", 1000)
+    assert found() == some and len(some) > 100 and max(turns) > 1
